@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import media, packing, sharding, token_records
+from graphloom.llm import language, media, packing, quality, secret_scan, sharding, token_records
 
 SHARD_BYTES = 1 << 20
 
@@ -42,6 +42,12 @@ FROM (SELECT *, CASE WHEN bits = 0 THEN 0 ELSE (bits - 1) // 12 END AS level FRO
 """
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_features(documents(spark, sf_dir))
     # time and code of each pair as 16 hex digits
@@ -53,6 +59,27 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judged(docs, forest).withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit_text_model(docs)
+    return language.identify(docs, model, F.col("text"), F.col("source"), F.col("lang"), {"doc_id": F.col("doc_id")})
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for web pages: declared by the markup, host and suffix from the address, text without tags."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = language.fit_text_model(documents(spark, sf_dir))
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    declared = F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1)
+    return language.identify(pages, model, bare, F.parse_url("url", F.lit("HOST")), declared, {"page_id": F.col("page_id")})
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 0)
     return packing.pack(pieces)
@@ -60,8 +87,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op4_secret_scans": op4_secret_scans,
     "op6_media_columns": op6_media_columns,
     "op7_token_records": op7_token_records,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
+    "pages_language": pages_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL}
