@@ -44,7 +44,7 @@ FROM (SELECT *, CASE WHEN bits = 0 THEN 0 ELSE (bits - 1) // 12 END AS level FRO
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    counts = [secret_scan.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 

@@ -126,6 +126,11 @@ def all_spans(least: float) -> Column:
     return F.array_sort(F.concat("_base", F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["order"].alias("order"), c["end"].alias("end")))))
 
 
+def count_of(spans: str, kind: int) -> Column:
+    """How many spans are of the kind."""
+    return F.size(F.filter(spans, lambda s: s["order"] == kind)).cast("long")
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kinds = F.array(*map(F.lit, KINDS))
