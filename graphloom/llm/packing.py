@@ -10,6 +10,7 @@ large the table is; pieces then find their places by length and number.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -131,18 +132,21 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cutter(tokenizer: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
+        end = struct.pack("<I", end_id)
         for batch in batches:
             docs, pieces, starts, lengths, sums = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py() or "") + end, enc.dtype).astype("<u4").tobytes()
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    docs.append(doc)
-                    pieces.append(k)
-                    starts.append(at // 4)
-                    lengths.append(len(own) // 4)
-                    sums.append(zlib.crc32(own))
+            names = iter(batch.column(0).to_pylist())
+            for tokens, bounds in enc.encode_texts(batch.column(1)):
+                wide = tokens.astype("<u4")
+                for i, doc in zip(range(len(bounds) - 1), names):
+                    ids = wide[bounds[i] : bounds[i + 1]].tobytes() + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        docs.append(doc)
+                        pieces.append(k)
+                        starts.append(at // 4)
+                        lengths.append(len(own) // 4)
+                        sums.append(zlib.crc32(own))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut

@@ -70,12 +70,14 @@ def _writer(tokenizer: str, end_id: int, folder: str):
         entries: list[tuple] = []
         with files.open_output_stream(f"{draft}.rec") as out, files.open_output_stream(f"{draft}.idx") as index:
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    payload = enc.encode(text.as_py() or "") + end
-                    out.write(frame(payload))
-                    n = len(payload) // enc.dtype.itemsize
-                    entries.append((0 if doc is None else doc, at, n, doc is not None))
-                    at, records, ids = at + len(payload) + 16, records + 1, ids + n
+                docs = iter(batch.column(0).to_pylist())
+                for tokens, bounds in enc.encode_texts(batch.column(1)):
+                    for k, doc in zip(range(len(bounds) - 1), docs):
+                        payload = tokens[bounds[k] : bounds[k + 1]].tobytes() + end
+                        out.write(frame(payload))
+                        n = len(payload) // enc.dtype.itemsize
+                        entries.append((0 if doc is None else doc, at, n, doc is not None))
+                        at, records, ids = at + len(payload) + 16, records + 1, ids + n
                 index.write(np.array(entries, INDEX).tobytes())
                 entries.clear()
         for kind in ("rec", "idx"):

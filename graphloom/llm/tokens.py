@@ -2,7 +2,8 @@
 
 The library spends most of its time on words it has seen before. For the two pre-tokenizers below, text is
 cut where no token can reach across; each chunk's ids are kept, and the library's model is asked only for
-chunks that are new. Anything unusual goes to the library whole, so ids equal those of ``encode``.
+chunks that are new. Texts of a batch are cut together and each distinct chunk is looked up once.
+Anything unusual goes to the library whole, so ids equal those of ``encode``.
 """
 
 from __future__ import annotations
@@ -10,14 +11,20 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from graphloom.llm import kernel
+
 #: Words kept, about 180 MB a worker at most; later ones are encoded each time.
 MOST = 800_000
+#: Bytes of text that are cut together.
+BATCH_BYTES = 8 << 20
 #: Python and the library differ on whether these are white space.
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Where the plain split at spaces may cut wrongly: white space that isn't a space or a line feed.
@@ -34,6 +41,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _flags(*runs: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in runs:
+        out[lo:hi] = True
+    return out
+
+
+#: Bytes that send a text to the careful path: control spaces, and lead bytes of characters from U+1000 on.
+_RARE = {"byte": _flags((9, 10), (11, 14), (28, 32), (0xE1, 256)), "word": _flags((28, 32), (0xE1, 256))}
+_CUTS = {"byte": _flags((32, 33)), "word": _flags((9, 14), (32, 33))}
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian bytes of ``dtype``."""
 
@@ -79,18 +98,21 @@ class ChunkEncoder:
     def _new(self, chunk: str) -> bytes:
         """Ids of a chunk that isn't in ``words``; it is put there unless it's a known word and a mark."""
         head, mark = chunk[:-1], chunk[-1]
-        if mark in ".,;:!?" and head.isalpha() and not _FAR.search(head):
+        if mark in ".,;:!?" and head.isalpha() and (head.isascii() or not _FAR.search(head)):
             if mark not in self.marks:
                 self.marks[mark] = self._piece(mark)
             return (self.words.get(head) or self._new(head)) + self.marks[mark]
-        if _FAR.search(chunk):
+        if not chunk.isascii() and _FAR.search(chunk):
             got = self._library(self.lead + chunk)
+        elif self.kind == "word":
+            plain = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
+            got = self._piece(plain) if plain.isalpha() else self._pieces(plain)
+        elif not chunk.isalpha():
+            got = self._pieces(" " + chunk)
+        elif chunk.isascii():
+            got = self.pack(*[t.id for t in self.model.tokenize(self.letters[32] + chunk)])
         else:
-            if self.kind == "word":
-                chunk_ = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
-                got = self._piece(chunk_) if chunk_.isalpha() else self._pieces(chunk_)
-            else:
-                got = self._piece(" " + chunk) if chunk.isalpha() else self._pieces(" " + chunk)
+            got = self._piece(" " + chunk)
         if len(self.words) < MOST:
             self.words[chunk] = got
         return got
@@ -115,6 +137,71 @@ class ChunkEncoder:
         return head + self._each(parts[1:])
 
 
+    def encode_texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts, in order: all ids, and the n + 1 places where the texts' ids begin. A null is empty."""
+        data, offsets = kernel.texts_of(column)
+        for lo, hi in kernel.slices(offsets, BATCH_BYTES):
+            yield self._together(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+    def _careful(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut at every space."""
+        bad = _RARE[self.kind][data]
+        if len(data) > 1:
+            a, b = data[:-1], data[1:]
+            pair = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 60) & (b == 124)
+            if self.kind == "byte":
+                blank = (data == 32) | (data == 10)
+                pair |= blank[:-1] & blank[1:] & ((a == 32) | (b == 32))
+            bad[:-1] |= pair
+        sums = np.concatenate(([0], np.cumsum(bad, dtype=np.int64)))
+        out = sums[offsets[1:]] > sums[offsets[:-1]]
+        if self.kind == "byte" and len(data):
+            out |= (offsets[1:] > offsets[:-1]) & (data[np.maximum(offsets[1:] - 1, 0)] == 32)
+        return out
+
+    def _together(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
+        if self.kind == "other":
+            whole = np.ones(n, bool)
+            cut = np.zeros(len(data), bool)
+        else:
+            whole = self._careful(data, offsets)
+            cut = _CUTS[self.kind][data] & ~np.repeat(whole, np.diff(offsets))
+            if self.kind == "word":
+                data = np.where(np.repeat(whole, np.diff(offsets)), data, kernel.LOWER_BYTES[data])
+        places = np.flatnonzero(cut)
+        sums = np.concatenate(([0], np.cumsum(cut, dtype=np.int64)))
+        per_text = sums[offsets[1:]] - sums[offsets[:-1]] + 1
+        last = np.cumsum(per_text) - 1
+        total = int(per_text.sum())
+        is_first, is_last = np.zeros(total, bool), np.zeros(total, bool)
+        is_first[last + 1 - per_text] = True
+        is_last[last] = True
+        starts, ends = np.empty(total, np.int64), np.empty(total, np.int64)
+        starts[is_first], starts[~is_first] = offsets[:-1], places + 1
+        ends[is_last], ends[~is_last] = offsets[1:], places
+        single = is_first.copy()
+        if self.kind == "word":
+            single[is_first] = whole
+        solid = data[~cut]
+        bounds = np.concatenate(([0], np.cumsum(ends - starts)))
+        strings = pa.Array.from_buffers(pa.large_string(), total, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(solid.tobytes())])
+        coded = strings.filter(pa.array(~single)).dictionary_encode()
+        get, make = self.words.get, self._new
+        found = [x if (x := get(p)) is not None else make(p) for p in coded.dictionary.to_pylist()]
+        code = np.empty(total, np.int64)
+        code[~single] = coded.indices.to_numpy()
+        code[single] = len(found) + np.arange(int(single.sum()))
+        for text, alone in zip(strings.filter(pa.array(single)).to_pylist(), whole if self.kind != "word" else [True] * n, strict=False):
+            found.append(self.encode(text) if alone else self._pieces(text))
+        size = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
+        ids, at = np.frombuffer(b"".join(found), self.dtype), np.concatenate(([0], np.cumsum(size)))
+        counts = size[code]
+        stops = np.cumsum(counts)
+        out = ids[np.repeat(at[code] - stops + counts, counts) + np.arange(stops[-1] if total else 0)]
+        return out, np.concatenate(([0], stops[last]))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a file and worker process."""

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -20,10 +21,27 @@ def same(name, text):
     assert np.frombuffer(fast.encode(text), fast.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def together(name, texts):
+    fast = PAIRS[name][0]
+    out = []
+    for ids, at in fast.encode_texts(pa.array(texts, pa.string())):
+        out += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'sdlabcABC019éßñ́ \x1c|<>"), st.characters(exclude_categories=["Cs"])), max_size=20), max_size=6))
+def test_batches_equal_the_library(texts):
+    for name in FILES:
+        assert together(name, texts) == [PAIRS[name][1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_ids_equal_the_library(name, docs):
     for text in ODD + [r.text or "" for r in docs.limit(60).collect()]:
         same(name, text)
+    texts = ODD + [r.text or "" for r in docs.limit(60).collect()]
+    assert together(name, [*texts, None]) == [PAIRS[name][1].encode(t, add_special_tokens=False).ids for t in texts] + [[]]
 
 
 @settings(max_examples=300, deadline=None)
