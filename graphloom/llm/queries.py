@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, media, packing, quality, secret_scan, sharding, token_records
+from graphloom.llm import language, media, ngram_join, packing, quality, secret_scan, sharding, token_records
 
 SHARD_BYTES = 1 << 20
 
@@ -48,6 +48,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), words=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_features(documents(spark, sf_dir))
     # time and code of each pair as 16 hex digits
@@ -88,6 +92,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_secret_scans": op4_secret_scans,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_columns": op6_media_columns,
     "op7_token_records": op7_token_records,
     "op8_quality_rules": op8_quality_rules,
