@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, media, ngram_join, packing, quality, secret_scan, sharding, token_records
+from graphloom.llm import language, line_dedup, media, ngram_join, packing, quality, secret_scan, sharding, token_records
 
 SHARD_BYTES = 1 << 20
 
@@ -42,6 +42,11 @@ FROM (SELECT *, CASE WHEN bits = 0 THEN 0 ELSE (bits - 1) // 12 END AS level FRO
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(documents(spark, sf_dir))
+    return rows.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(documents(spark, sf_dir))
     counts = [secret_scan.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
@@ -91,6 +96,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
     "op4_secret_scans": op4_secret_scans,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_columns": op6_media_columns,
