@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, line_dedup, media, ngram_join, packing, quality, secret_scan, sharding, token_records
+from graphloom.llm import language, line_dedup, media, ngram_join, packing, piece_codec, quality, secret_scan, sharding, token_records
 
 SHARD_BYTES = 1 << 20
 
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return sharding.assign_shards(docs, ["doc_id"], F.octet_length("text"), SHARD_BYTES)
@@ -95,6 +99,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scans": op4_secret_scans,
