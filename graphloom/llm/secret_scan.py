@@ -12,6 +12,7 @@ table holds the false-discovery rate at ``FDR`` whatever the dependence between
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,61 +40,79 @@ ENCODINGS = (
 PROSE = ((0.40, "aeiou"), (0.52, "bcdfghjklmnpqrstvwxyz"), (0.02, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (0.03, "0123456789"), (0.03, "+/_-="))
 
 
-def _matches(text: Column, pattern: str, group: int = 0) -> tuple[Column, Column]:
-    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+SPAN = "array<struct<start:int,order:int,end:int,value:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start,order,end,value>> of the matches, in code points: lengths between and of matches, summed."""
-    between, found = _matches(text, pattern)
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else found
-    steps = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(F.length(between[i]).alias("skip"), F.length(found[i]).alias("len"), value[i].alias("value")))
-    kind_of = "array<struct<start:int,order:int,end:int,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out"))
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if kind == 0 else 0))
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), group.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["skip"]
-        one = F.struct(a.alias("start"), F.lit(kind).alias("order"), (a + x["len"]).alias("end"), x["value"].alias("value"))
-        return F.struct((a + x["len"]).alias("at"), F.concat(acc["out"], F.array(one)).cast(kind_of).alias("out"))
+    def sums(p: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            a = acc["at"] + F.length(p["between"][i])
+            return F.struct((a + F.length(p["found"][i])).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), F.lit(kind).alias("order"), (a + F.length(p["found"][i])).alias("end"), p["value"][i].alias("value")))).cast(SPAN).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind_of))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.when(F.size(p["found"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(p["found"]) - 1), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+
+    return _let(parts, sums)
 
 
 def _guarded(text: Column, guard: str, spans: Column) -> Column:
-    return F.when(text.rlike(guard), spans).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,value:string>>"))
+    return F.when(text.rlike(guard), spans).otherwise(F.array().cast(SPAN))
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
 def battery(token: Column) -> Column:
     """struct<encoding, n, chi, runs, serial, evidence>: normal values of the three tests, and ln of the e-value (-1000 if a test fails)."""
+
+    def encoded(core: Column) -> Column:
+        name = reduce(lambda rest, e: F.when(core.rlike(f"^(?:{e[1]})$"), e[0]).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][0]))
+        return _let(F.struct(core.alias("core"), F.length(core).cast("double").alias("n"), name.alias("name")), spelled)
+
+    def spelled(k: Column) -> Column:
+        alphabet = reduce(lambda rest, e: F.when(k["name"] == e[0], e[2]).otherwise(rest), ENCODINGS[:-1], F.lit(ENCODINGS[-1][2]))
+        folded = F.when(k["name"] == "base64", k["core"]).otherwise(F.lower(k["core"]))
+        return _let(F.struct(alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"), folded.alias("folded"), F.regexp_extract_all(folded, F.lit("."), F.lit(0)).alias("symbols")), lambda s: numbered(k, s))
+
+    def numbered(k: Column, s: Column) -> Column:
+        values = F.transform(s["symbols"], lambda c: F.instr(s["alphabet"], c).cast("double") - 1)
+        return _let(values, lambda values: _let(F.struct((_total(values) / k["n"]).alias("mean"), F.transform(values, lambda v: F.when(v >= s["size"] / 2, 1.0).otherwise(0.0)).alias("upper")), lambda m: tested(k, s, values, m)))
+
+    def tested(k: Column, s: Column, values: Column, m: Column) -> Column:
+        n, size = k["n"], s["size"]
+        squares = _total(F.transform(F.array_distinct(s["symbols"]), lambda c: F.pow(n - F.length(F.replace(s["folded"], c, F.lit(""))), F.lit(2.0))))
+        chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+        steps = F.sequence(F.lit(0), F.size(values) - 2)
+        runs = 1 + _total(F.transform(steps, lambda i: F.when(m["upper"][i] != m["upper"][i + 1], 1.0).otherwise(0.0)))
+        pairs = 2 * _total(m["upper"]) * (n - _total(m["upper"]))
+        power = _total(F.transform(values, lambda v: (v - m["mean"]) * (v - m["mean"])))
+        lagged = _total(F.transform(steps, lambda i: (values[i] - m["mean"]) * (values[i + 1] - m["mean"])))
+        return _let(F.struct(chi.alias("chi"), runs.alias("runs"), pairs.alias("pairs"), power.alias("power"), lagged.alias("lagged")), lambda t: judged(k, s, t))
+
+    def judged(k: Column, s: Column, t: Column) -> Column:
+        n, pairs = k["n"], t["pairs"]
+        spread = pairs * (pairs - n) / (n * n * (n - 1))
+        runs_z = F.when(spread > 0, (t["runs"] - 1 - pairs / n) / F.sqrt(spread)).otherwise(F.lit(99.0))
+        serial = F.when(t["power"] > 0, (t["lagged"] / t["power"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+        prose_text = F.when(k["core"].rlike("[a-z]"), k["core"]).otherwise(F.lower(k["core"]))
+        prose = reduce(lambda a, b: a + b, [F.lit(math.log(share / len(x))) * F.length(F.regexp_replace(prose_text, f"[^{x.replace('-', '')}{'-' if '-' in x else ''}]", "")) for share, x in PROSE])
+        fits = (t["chi"] <= Z_ONE) & (F.abs(runs_z) <= Z_TWO) & (F.abs(serial) <= Z_TWO)
+        evidence = F.when(fits, -n * F.log(s["size"]) - prose).otherwise(F.lit(-1000.0))
+        return F.struct(k["name"].alias("encoding"), n.cast("int").alias("n"), t["chi"].alias("chi"), runs_z.alias("runs"), serial.alias("serial"), evidence.alias("evidence"))
+
     core = F.regexp_replace(token, "[=_-]", "")
-    n = F.length(core).cast("double")
-    name = reduce(lambda rest, e: F.when(core.rlike(f"^(?:{e[1]})$"), e[0]).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][0]))
-    alphabet = reduce(lambda rest, e: F.when(core.rlike(f"^(?:{e[1]})$"), e[2]).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][2]))
-    size = F.length(alphabet).cast("double")
-    folded = F.when(name == "base64", core).otherwise(F.lower(core))
-    symbols = F.regexp_extract_all(folded, F.lit("."), F.lit(0))
-    values = F.transform(symbols, lambda c: F.instr(alphabet, c).cast("double") - 1)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    squares = total(F.transform(F.array_distinct(symbols), lambda c: F.pow(n - F.length(F.replace(folded, c, F.lit(""))), F.lit(2.0))))
-    chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-    upper = F.transform(values, lambda v: F.when(v >= size / 2, 1.0).otherwise(0.0))
-    ones = total(upper)
-    zeros = n - ones
-    steps = F.sequence(F.lit(0), F.size(values) - 2)
-    runs = 1 + total(F.transform(steps, lambda i: F.when(upper[i] != upper[i + 1], 1.0).otherwise(0.0)))
-    pairs = 2 * ones * zeros
-    spread = pairs * (pairs - n) / (n * n * (n - 1))
-    runs_z = F.when(spread > 0, (runs - 1 - pairs / n) / F.sqrt(spread)).otherwise(F.lit(99.0))
-    mean = total(values) / n
-    power = total(F.transform(values, lambda v: (v - mean) * (v - mean)))
-    lagged = total(F.transform(steps, lambda i: (values[i] - mean) * (values[i + 1] - mean)))
-    serial = F.when(power > 0, (lagged / power + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-    prose_text = F.when(core.rlike("[a-z]"), core).otherwise(F.lower(core))
-    prose = total(F.array(*[F.lit(math.log(share / len(s))) * F.length(F.regexp_replace(prose_text, f"[^{s.replace('-', '')}{'-' if '-' in s else ''}]", "")) for share, s in PROSE]))
-    evidence = -n * F.log(size) - prose
-    fits = (chi <= Z_ONE) & (F.abs(runs_z) <= Z_TWO) & (F.abs(serial) <= Z_TWO)
-    ok = F.when(n >= 16, F.when(fits, evidence).otherwise(F.lit(-1000.0))).otherwise(F.lit(-1000.0))
-    return F.struct(name.alias("encoding"), n.cast("int").alias("n"), chi.alias("chi"), runs_z.alias("runs"), serial.alias("serial"), ok.alias("evidence"))
+    none = F.struct(F.lit("none").alias("encoding"), F.length(core).alias("n"), *[F.lit(99.0).alias(x) for x in ("chi", "runs", "serial")], F.lit(-1000.0).alias("evidence"))
+    return F.when(F.length(core) >= 16, _let(core, encoded)).otherwise(none)
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
