@@ -10,7 +10,6 @@ import re
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,7 +25,8 @@ FIELD_BOOST = {"name": 4, "path": 3, "kind": 2, "content": 1}
 
 
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # Arrow's own normalisation doesn't compose characters again
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:

@@ -78,7 +78,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     fix-point; of each such class, what reaches its least node backwards is one component; the rest goes on.
     """
     edges = settled(distinct_edges(edges))
-    out = edges.filter("src = dst").select(F.col("src").alias("component"), F.col("src").alias("address"))
+    loops = edges.filter("src = dst").select(F.col("src").alias("component"), F.col("src").alias("address"))
+    out = loops.limit(0)
     rest = _trim(edges.filter("src <> dst"))
     while not rest.isEmpty():
         nodes = rest.select(F.col("src").alias("address")).union(rest.select(F.col("dst").alias("address"))).distinct()
@@ -105,7 +106,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         out = out.unionByName(found)
         done = reached.select("address")
         rest = _trim(settled(inner.select("src", "dst").join(done.withColumnRenamed("address", "src"), "src", "left_anti").join(done.withColumnRenamed("address", "dst"), "dst", "left_anti")))
-    return out.distinct()
+    return out.unionByName(loops.join(out.select("address"), "address", "left_anti").select("component", "address"))
 
 
 def lineages(parents: DataFrame, names: DataFrame, max_depth: int = 128) -> DataFrame:
