@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import changes, graph, resolution, search, selection, sinks
+from graphloom.operators import changes, graph, inventory, resolution, search, selection, sinks
 from graphloom.plans import catalog
 from graphloom.plans.catalog import EDGES_SQL, EXTERNALS_SQL, FACTS_SQL, OBJECTS_SQL, SEARCH_SQL, table
 from graphloom.streaming import coalesce
@@ -630,3 +630,84 @@ def idempotent_admit(spark, sf_dir):
 def scope_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.when((F.col("event_type") == "error") & (F.col("value") > 95), "full").otherwise("changed_paths").alias("scope"), F.when(F.col("event_type") == "click", F.col("props")).alias("path"))
     return coalesce.merge_scopes(e, "user_id", 30).select("user_id", "scope", F.array_join("paths", "|").alias("paths"))
+
+
+# --- inventory --------------------------------------------------------------------------------------------------
+
+REGISTRY = ((5, "exact", "5.1.2", "exact-512", 0), (5, "prefix", "5.", "prefix-5", 0), (5, "prefix", "5.1", "prefix-51", 0), (5, "any", "", "any-5", 0), (6, "any", "", "any-6", 1), (6, "prefix", "6.", "late-6", 2))
+REGISTRY_SQL = "SELECT * FROM (VALUES " + ", ".join(map(str, REGISTRY)) + ") AS r(class_id, kind, version, schema, source)"
+
+
+@query(f"""SELECT address, schema FROM (SELECT o.address, r.schema, row_number() OVER (PARTITION BY o.address ORDER BY r.source NULLS LAST, CASE r.kind WHEN 'exact' THEN 0 WHEN 'prefix' THEN 1 ELSE 2 END, -length(r.version), r.schema) AS rn FROM (
+  SELECT 'part:' || CAST(p_partkey AS VARCHAR) AS address, CAST(5 + p_partkey % 3 AS INTEGER) AS class_id, (4 + p_size % 3) || '.' || (p_partkey % 2) || '.' || (p_partkey % 4) AS version FROM part) o
+  LEFT JOIN ({REGISTRY_SQL}) r ON r.class_id = o.class_id AND (r.kind = 'any' OR (r.kind = 'exact' AND r.version = o.version) OR (r.kind = 'prefix' AND starts_with(o.version, r.version)))) WHERE rn = 1""")
+def registry_match(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    version = F.concat_ws(".", (4 + F.col("p_size") % 3).cast("string"), (F.col("p_partkey") % 2).cast("string"), (F.col("p_partkey") % 4).cast("string"))
+    objects = p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("address"), (5 + F.col("p_partkey") % 3).cast("int").alias("class_id"), version.alias("version"))
+    return inventory.registry_match(objects, spark.createDataFrame(REGISTRY, "class_id int, kind string, version string, schema string, source int"))
+
+
+def _listings(spark, sf_dir):
+    docs = catalog.search_documents(spark, sf_dir)
+    n = F.substring("stable_key", 6, 20).cast("long")
+    path = F.concat_ws("/", "path", "stable_key").alias("path")
+    return docs.filter(n % 5 != 0).select(path, (n % 4).alias("stamp")), docs.filter(n % 7 != 0).select(path, (n % 4 + F.when(n % 11 == 0, 1).otherwise(0)).alias("stamp"))
+
+
+def _scan_sql(named: str, action: str) -> str:
+    return f"""SELECT path, action FROM (SELECT path || '/' || stable_key AS path, CASE WHEN {named} THEN CASE WHEN n % 5 = 0 AND n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN 'remove' WHEN n % 7 = 0 THEN 'add' {action} END
+      WHEN n % 7 <> 0 THEN 'reuse' END AS action FROM (SELECT *, CAST(substr(stable_key, 6) AS BIGINT) AS n FROM ({SEARCH_SQL}))) WHERE action IS NOT NULL"""
+
+
+@query(_scan_sql("true", "WHEN n % 11 = 0 THEN 'update' ELSE 'reuse'"))
+def scan_plan(spark, sf_dir):
+    return inventory.scan_plan(*_listings(spark, sf_dir), "reconcile")
+
+
+@query(_scan_sql("starts_with(path, 'Assets/PROMO/')", "WHEN n % 11 = 0 THEN 'update' ELSE 'reuse'"))
+def scan_changed_paths(spark, sf_dir):
+    return inventory.scan_plan(*_listings(spark, sf_dir), "changed_paths", ["Assets/PROMO"])
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1 AS occurrence FROM part")
+def member_occurrences(spark, sf_dir):
+    return inventory.occurrences(table(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", F.col("occurrence").cast("long").alias("occurrence"))
+
+
+@query("""SELECT stable_key, score, path, name, kind, evidence FROM (SELECT p_name AS stable_key, p_size AS score, p_brand AS path, p_type AS name, CAST(p_partkey % 3 AS VARCHAR) AS kind,
+  row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_brand, p_type, CAST(p_partkey % 3 AS VARCHAR)) AS rn, array_to_string(list_sort(list_distinct(list(p_type) OVER (PARTITION BY p_name))), ',') AS evidence FROM part) WHERE rn = 1""")
+def merge_candidates(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("stable_key"), F.col("p_size").alias("score"), F.col("p_brand").alias("path"), F.col("p_type").alias("name"), (F.col("p_partkey") % 3).cast("string").alias("kind"), F.array("p_type").alias("evidence"))
+    return inventory.merge_candidates(p).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query(f"""SELECT doc_id, CASE WHEN contains(' ' || t || ' ', ' with ') THEN 'token' ELSE 'substring' END AS evidence FROM (SELECT doc_id, {TERMS_SQL.format('text')} AS t FROM documents) WHERE contains(' ' || t || ' ', ' with')""")
+def evidence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return inventory.content_evidence(docs, text.to_terms(F.col("text"), True), "with").select("doc_id", "evidence")
+
+
+@query("""SELECT p_partkey AS ref, CASE WHEN p_size % 4 = 3 THEN 'Unloaded' WHEN p_size % 4 = 2 THEN 'Ambiguous' WHEN p_partkey % 9 = 0 OR p_partkey % 1000 + p_size > 800 THEN 'Invalid' ELSE 'Resolved' END AS state FROM part""")
+def streamed_resources(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    requests = p.select(F.col("p_partkey").alias("ref"), F.concat(F.lit("archive:/Res/"), (F.col("p_size") % 4).cast("string"), F.lit(".resS")).alias("path"), F.when(F.col("p_partkey") % 9 == 0, -1).otherwise(F.col("p_partkey") % 1000).alias("offset"), F.col("p_size").alias("size"))
+    sources = spark.createDataFrame([("Res/0.resS", 800), ("res/1.ress", 800), ("Res/2.resS", 800), ("res\\2.resS", 800)], "path string, length long")
+    return inventory.streamed_resource(requests, sources)
+
+
+@query("SELECT page_id, NOT regexp_matches(p, '(^|/)\\.{0,2}(/|$)') AND p <> '' AS fine FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/' || page_id WHEN 1 THEN 'a/../' || page_id WHEN 2 THEN '/a' ELSE 'a//b' END AS p FROM pages)")
+def portable_paths(spark, sf_dir):
+    n = F.col("page_id")
+    path = F.when(n % 4 == 0, F.concat(F.lit("a/"), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("a/../"), n.cast("string"))).when(n % 4 == 2, "/a").otherwise("a//b")
+    return table(spark, sf_dir, "pages").select("page_id", inventory.portable(path).alias("fine"))
+
+
+@query(f"SELECT src, field_path, 'nation:3' AS expected, 'nation:4' AS target FROM ({STATE_SQL}) WHERE target = 'nation:3'")
+def recipe_retarget(spark, sf_dir):
+    return inventory.retarget(resolved(spark, sf_dir), spark.createDataFrame([("nation:3", "nation:4")], "old string, new string"))
+
+
+@query("SELECT p_partkey, CAST(list_sum(list_transform(range(0, 1 + p_partkey % 8), lambda i: greatest(p_size * 8 // CAST(pow(2, i) AS BIGINT), 1) * greatest(64 // CAST(pow(2, i) AS BIGINT), 1) * 4)) AS BIGINT) AS bytes FROM part")
+def mip_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", inventory.mip_bytes(F.col("p_size") * 8, F.lit(64), (1 + F.col("p_partkey") % 8).cast("int"), 4).alias("bytes"))
