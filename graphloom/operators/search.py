@@ -137,19 +137,19 @@ def term_match(term: str, quoted: bool, fuzzy: bool) -> Column:
 def ranked(table: DataFrame, q: Query, limit: int, fuzzy: bool = False) -> DataFrame:
     """The best ``limit`` rows that match every term: rank, stable_key, match_kind, field_boost, fuzzy_score, path, name."""
     rows = filtered(table, q)
-    matches = F.array(*[term_match(t, quoted, fuzzy) for t, quoted in q.terms])
     if q.terms:
-        rows = rows.withColumn("_m", matches).filter(F.forall("_m", lambda m: m.isNotNull()))
-        worst = F.array_max(F.transform("_m", lambda m: m["rank"]))
-        boost = -F.aggregate("_m", F.lit(0), lambda a, m: a + m["minus_boost"])
-        score = -F.aggregate("_m", F.lit(0).cast("long"), lambda a, m: a + m["minus_fuzzy"])
+        # the matches of a row are computed once and summed up in one value; rows without a match sort last and go after the limit
+        matches = F.array(*[term_match(t, quoted, fuzzy) for t, quoted in q.terms])
+        total = lambda ms, part: -F.aggregate(ms, F.lit(0).cast("long"), lambda a, m: a + m[part])
+        summed = lambda ms: F.when(F.forall(ms, lambda m: m.isNotNull()), F.struct(F.array_max(F.transform(ms, lambda m: m["rank"])).alias("kind_rank"), total(ms, "minus_boost").cast("int").alias("field_boost"), total(ms, "minus_fuzzy").alias("fuzzy_score")))
+        rows = rows.withColumn("_r", F.element_at(F.transform(F.array(matches), summed), 1))
     else:
-        worst, boost, score = F.lit(text.KIND_RANK["none"]), F.lit(0), F.lit(0).cast("long")
-    scored = rows.select("stable_key", "name", "path", "path_norm", "name_norm", worst.alias("kind_rank"), boost.cast("int").alias("field_boost"), score.alias("fuzzy_score"))
-    order = ["kind_rank", F.desc("field_boost"), F.desc("fuzzy_score"), "path_norm", "name_norm", "stable_key"]
+        rows = rows.withColumn("_r", F.struct(F.lit(text.KIND_RANK["none"]).alias("kind_rank"), F.lit(0).alias("field_boost"), F.lit(0).cast("long").alias("fuzzy_score")))
+    scored = rows.select("stable_key", "name", "path", "path_norm", "name_norm", "_r")
+    order = [F.asc_nulls_last("_r.kind_rank"), F.desc("_r.field_boost"), F.desc("_r.fuzzy_score"), "path_norm", "name_norm", "stable_key"]
     top = scored.orderBy(*order).limit(limit)
-    names = F.array(*map(F.lit, text.KIND_RANK))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "stable_key", names[F.col("kind_rank")].alias("match_kind"), "field_boost", "fuzzy_score", "name", "path")
+    ranks = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter("_r is not null")
+    return ranks.select("rank", "stable_key", text.kind_name(F.col("_r.kind_rank")).alias("match_kind"), "_r.field_boost", "_r.fuzzy_score", "name", "path")
 
 
 def search(table: DataFrame, raw: str, limit: int = 25) -> DataFrame:
