@@ -172,7 +172,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
     gone = duplicate_lines(df, id_col, text_col).withColumnsRenamed({"id": "_id", "key": "_key", "gone": "_gone"})
     text = F.col(f"`{text_col}`")
-    rows = df.withColumn("_key1", F.xxhash64(text)).join(gone, (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_key1") == F.col("_key")), "left")
+    # texts are shuffled at any size: a broadcast of what goes would hold only as long as it is little
+    rows = df.withColumn("_key1", F.xxhash64(text)).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_key1") == F.col("_key")), "left")
     lines = F.split(text, "\n", -1)
     clean = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     out = F.when(F.col("_gone").isNotNull(), clean).otherwise(text)
