@@ -36,7 +36,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ready(spark)
     found = store.written(ngram_join.jaccard_components(docs), "near-duplicates")
     gone = found.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     often = found.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
     if not often.isEmpty():
         kept = kept.join(often, "doc_id", "left_anti").unionByName(kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -21,10 +21,10 @@ from tokenizers import Tokenizer
 
 from graphloom.llm import kernel
 
-#: Words kept, about 180 MB a worker at most; later ones are encoded each time.
-MOST = 800_000
-#: Bytes of text that are cut together.
-BATCH_BYTES = 8 << 20
+#: Words kept, about 110 MB a worker at most; later ones are encoded each time.
+MOST = 600_000
+#: Bytes of text that are cut together; what a batch takes is about thirty times that.
+BATCH_BYTES = 3 << 20
 #: Python and the library differ on whether these are white space.
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Where the plain split at spaces may cut wrongly: white space that isn't a space or a line feed.
@@ -189,7 +189,7 @@ class ChunkEncoder:
         coded = strings.filter(pa.array(~single)).dictionary_encode()
         get, make = self.words.get, self._new
         found = [x if (x := get(p)) is not None else make(p) for p in coded.dictionary.to_pylist()]
-        code = np.empty(total, np.int64)
+        code = np.empty(total, np.int32)
         code[~single] = coded.indices.to_numpy()
         code[single] = len(found) + np.arange(int(single.sum()))
         for text, alone in zip(strings.filter(pa.array(single)).to_pylist(), whole if self.kind != "word" else [True] * n, strict=False):
@@ -198,7 +198,8 @@ class ChunkEncoder:
         ids, at = np.frombuffer(b"".join(found), self.dtype), np.concatenate(([0], np.cumsum(size)))
         counts = size[code]
         stops = np.cumsum(counts)
-        out = ids[np.repeat(at[code] - stops + counts, counts) + np.arange(stops[-1] if total else 0)]
+        shift = (at[code] - stops + counts).astype(np.int32)  # a batch has far fewer than 2**31 ids
+        out = ids[np.repeat(shift, counts) + np.arange(stops[-1] if total else 0, dtype=np.int32)]
         return out, np.concatenate(([0], stops[last]))
 
 
