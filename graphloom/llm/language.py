@@ -99,13 +99,13 @@ def _spread(model: TextModel):
 
 
 def fit_text_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", most: int = MAX_SAMPLE) -> TextModel:
-    """A model of the languages of at most ``most`` rows with text and language. ValueError if there are none."""
+    """A model of the languages of at most ``most`` rows with text and language; without any, one that rejects all texts."""
     known = df.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{language_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     ids = known.select(F.col(f"`{id_col}`").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
     own = known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{language_col}`").alias("language"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "_id").select("language", "text")
     counts = own.mapInArrow(_count, COUNT_DDL).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
-        raise ValueError("no rows with a text and a language")
+        return TextModel(["und"], np.zeros((BUCKETS, 1)), np.array([np.inf]))
     names = sorted(counts["language"].unique())
     table = np.full((BUCKETS, len(names)), 0.5)
     for k, name in enumerate(names):

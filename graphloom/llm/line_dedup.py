@@ -170,13 +170,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     Lines that stay keep their bytes and order; a text that loses all its lines becomes empty. Null texts stay
     null and count no lines; repeated rows are treated alike; columns of any other name stay.
     """
-    gone = duplicate_lines(df, id_col, text_col).withColumnsRenamed({"id": "_id", "key": "_key", "gone": "_gone"})
+    gone = duplicate_lines(df, id_col, text_col).withColumnsRenamed({"id": "__gl_id", "key": "__gl_key", "gone": "__gl_gone"})
     text = F.col(f"`{text_col}`")
     # texts are shuffled at any size: a broadcast of what goes would hold only as long as it is little
-    rows = df.withColumn("_key1", F.xxhash64(text)).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_key1") == F.col("_key")), "left")
+    rows = df.withColumn("__gl_key1", F.xxhash64(text)).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col("__gl_id")) & (F.col("__gl_key1") == F.col("__gl_key")), "left")
     lines = F.split(text, "\n", -1)
-    clean = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = F.when(F.col("_gone").isNotNull(), clean).otherwise(text)
-    counted = rows.withColumns({"_n_lines": F.coalesce(F.when(text.isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+    clean = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gl_gone"), i)), "\n")
+    out = F.when(F.col("__gl_gone").isNotNull(), clean).otherwise(text)
+    counted = rows.withColumns({"_n_lines": F.coalesce(F.when(text.isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("__gl_gone"), F.lit(0)).cast("long")})
     counted = counted.withColumn("_n_removed", F.greatest(F.col("_n_removed"), F.lit(0).cast("long")))
     return counted.withColumn(text_col, out).select(*[F.col(f"`{c}`") for c in df.columns], "_n_lines", "_n_removed")

@@ -83,3 +83,19 @@ def test_repeated_rows_stay_once(spark, data, table):
     text = made_words(random.Random(1), 40)
     rows = stage("n-gram Jaccard join")(spark, table([text, text, "x"]).unionByName(table([text])), data).collect()
     assert sorted(r.doc_id for r in rows) == [0, 2]
+
+
+def test_odd_and_empty_tables(spark, data, docs, odd):
+    extra = ["id", "key", "component_id", "kept", "piece", "sequence_id", "language", "block", "gone"]
+    some = docs.limit(30).withColumns({c: docs.source for c in extra})
+    step = some.unionByName(odd.withColumns({c: odd.source for c in extra}).withColumn("doc_id", odd.doc_id + 10_000))
+    step = step.unionByName(some.limit(3)).unionByName(some.limit(2).withColumn("doc_id", some.doc_id * 0 - 5).selectExpr("cast(null as long) as doc_id", *some.columns[1:]))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        after = f(spark, step, data)
+        assert after.columns == step.columns, name
+        step = spark.createDataFrame(after.collect(), step.schema)
+    assert step.count() >= 25
+    assert corpus_pipeline.STAGES[-1][1](spark, step, data).count() >= step.count()
+    empty = docs.filter("false")
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, data).count() == 0, name
