@@ -72,7 +72,12 @@ def assign_shards(df: DataFrame, key: Sequence[str], size: Column, limit: int) -
     def result(part: DataFrame) -> DataFrame:
         return part.select(*out, F.col("_size").alias("n_bytes"), F.col("depth").cast("int"), "shard_id", "shard_bytes", "shard_rows")
 
-    large = rows.filter(F.col("_size") > limit).withColumns({"depth": F.lit(-1), "shard_id": F.concat(F.lit("large:"), F.expr("uuid()")), "shard_bytes": F.col("_size"), "shard_rows": F.lit(1).cast("long")})
+    def numbered(part: DataFrame) -> DataFrame:
+        """Rows that agree in key, size and hash, counted and then told apart by a number."""
+        same = part.groupBy(*names, "_size", "_hash").agg(F.count("*").alias("_n"))
+        return same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+
+    large = numbered(rows.filter(F.col("_size") > limit)).withColumns({"depth": F.lit(-1), "shard_id": F.concat_ws(":", F.lit("large"), "_hash", F.col("_size").cast("string"), F.col("_i").cast("string")), "shard_bytes": F.col("_size"), "shard_rows": F.lit(1).cast("long")})
     done, pending = [result(large)], rows.filter(F.col("_size") <= limit)
     for level in range(LEVELS):
         if level * DIGITS == KEY_DIGITS:  # the key's bits are used up: go on with those of the whole row
@@ -86,9 +91,8 @@ def assign_shards(df: DataFrame, key: Sequence[str], size: Column, limit: int) -
             break
         pending = store.written(prefixed.join(directory.filter("depth is null").select("_prefix"), "_prefix", "left_semi").drop("_prefix"), "shard-pending")
     else:
-        same = pending.groupBy(*names, "_size", "_hash").agg(F.count("*").alias("_n"))
         room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.col("_size")))
-        dealt = same.select("*", room.alias("_room"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+        dealt = numbered(pending).withColumn("_room", room)
         part = F.floor(F.col("_i") / F.col("_room"))
         count = F.least(F.col("_room"), F.col("_n") - part * F.col("_room")).cast("long")
         done.append(result(dealt.withColumns({"depth": F.lit(LEVELS * STEP), "shard_id": F.concat_ws(":", F.lit(LEVELS * STEP).cast("string"), "_hash", part.cast("string")), "shard_rows": count, "shard_bytes": count * F.col("_size")})))
