@@ -172,7 +172,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links with nothing. An empty table gives no rows. Other columns of ``df`` aren't returned.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    classes = max(1, int(1 / (1.6 * (1 - percent / 100)))) if percent < 100 else 64
+    classes = max(1, int(1 / (1.3 * (1 - percent / 100)))) if percent < 100 else 64
     sketch = store.written(docs.mapInArrow(_sketch(words, percent, classes), SKETCH_DDL), "shingles")
     known = sketch.filter("id is not null and size > 0")
 
@@ -190,7 +190,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = components(prefix.join(centres, "h").filter("id <> v").select(F.col("id").alias("u"), "v"), "blocks")
     blocks = store.written(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")), "blocks")
 
-    sets = store.written(docs.join(blocks, "id").select("id", "block", "text").mapInArrow(_sets(words), "id long, block long, size int, members array<long>"), "sets")
+    # texts are shuffled at any size: a broadcast of the candidates would hold only as long as there are few
+    sets = store.written(docs.join(blocks.hint("merge"), "id").select("id", "block", "text").mapInArrow(_sets(words), "id long, block long, size int, members array<long>"), "sets")
     tiles = _tiles(sets, percent).repartition("tile").sortWithinPartitions("tile")
     links = store.written(tiles.select("tile", "side", "id", "members").mapInArrow(_compare(percent), "u long, v long"), "links")
     found = components(links.union(copies.select(F.col("id").alias("u"), F.col("least").alias("v"))), "components")
