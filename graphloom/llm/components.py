@@ -1,26 +1,68 @@
-"""Connected components by alternating large-star and small-star steps, all of it distributed.
+"""Connected components by contraction and alternating large-star and small-star steps, all of it distributed.
 
-Every round is one aggregation and one join for each step; no task sees more than its share of the
-edges of a hub, as minima are pre-aggregated and skewed joins are split by adaptive execution.
+Each round first contracts the edges that lie together in a partition, in chunks of bounded size, without a
+shuffle; then come the two steps, each one aggregation and one join. No task sees more than its share of the
+edges of a hub, as minima are pre-aggregated and skewed joins are split by adaptive execution. Rounds end when
+the edges are stars.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import store
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(row)
+#: Edges that one task contracts together; what it holds is bounded by that.
+CHUNK = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the edges of each chunk of a partition by stars around the least nodes that they connect."""
+    parts, held = [], 0
+
+    def stars() -> pa.RecordBatch:
+        edges = np.concatenate(parts, axis=1)
+        nodes, flat = np.unique(edges, return_inverse=True)
+        u, v = flat.reshape(2, -1)
+        least = np.arange(len(nodes))
+        while True:  # hook the larger root to the smaller one, then let all nodes point to their roots
+            a, b = least[u], least[v]
+            if (a == b).all():
+                break
+            np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+            while (least != (up := least[least])).any():
+                least = up
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], names=["u", "v"])
+
+    for batch in batches:
+        parts.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        held += batch.num_rows
+        if held >= CHUNK:
+            yield stars()
+            parts.clear()
+            held = 0
+    if held:
+        yield stars()
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two centres, or is a centre and a leaf."""
+    ends = edges.select(F.col("u").alias("node"), "v").union(edges.select(F.col("v").alias("node"), F.lit(None).cast("long")))
+    seen = ends.groupBy("node").agg(F.count("v").alias("out"), F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return not seen.filter("out > 0 and (out < n or a <> b)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -39,16 +81,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     edges = edges.filter("u is not null and v is not null and u <> v")
-    now = store.written(_small_star(edges.distinct()), name)
-    seen, rounds = _fingerprint(now), 0
-    while seen[0]:
-        then = store.written(_small_star(_large_star(now)), name)
-        mark = _fingerprint(then)
+    now = store.written(edges.mapInArrow(_contract, "u long, v long"), name)
+    while _unsettled(now):
+        then = store.written(_small_star(_large_star(now.mapInArrow(_contract, "u long, v long"))), name)
         if place := store.path_of(now):
             store.remove(spark, place)
-        now, rounds = then, rounds + 1
-        if mark == seen:
-            break
-        seen = mark
+        now = then
+    now = now.distinct()
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
