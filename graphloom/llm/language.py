@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import kernel
+from graphloom.llm import kernel, store
 
 BUCKETS = 1 << 15
 #: Texts with a known language that the model is fitted on, at most; those of the least hashed ids.
@@ -188,6 +188,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, host: Column, declar
     names = model.languages
     own = {"_host": host.cast("string"), "_suffix": suffix_of(host.cast("string")), "_declared": folded(declared.cast("string"), names)}
     hosts, declarations, whole = priors(text_evidence(df, model, text, own), names)
+    hosts = store.written(hosts, "host-priors")  # now its size is known: if it is small, no text is shuffled
     rows = text_evidence(df, model, text, {**carry, **own})
     hosts = hosts.withColumnsRenamed({"_host": "_host2", "_suffix": "_suffix2"})
     rows = rows.join(hosts, F.col("_host").eqNullSafe(F.col("_host2")) & F.col("_suffix").eqNullSafe(F.col("_suffix2")), "left")
