@@ -404,11 +404,11 @@ def edit_distance(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name", d.alias("distance"), (F.levenshtein(F.lit("red ring"), F.col("p_name"), 2) >= 0).alias("within")).distinct()
 
 
-@query(f"""SELECT stable_key, max(CASE WHEN levenshtein('wigdet', t) <= 1 THEN 10000 - 1000 * levenshtein('wigdet', t) - abs(length(t) - 6) END)::INTEGER AS loose, max(CASE WHEN levenshtein('widge', t) <= 1 THEN 10000 - 1000 * levenshtein('widge', t) - abs(length(t) - 5) END)::INTEGER AS score
+@query(f"""SELECT stable_key, max(CASE WHEN levenshtein('rings', t) <= 1 THEN 10000 - 1000 * levenshtein('rings', t) - abs(length(t) - 5) END)::INTEGER AS loose, max(CASE WHEN levenshtein('widge', t) <= 1 THEN 10000 - 1000 * levenshtein('widge', t) - abs(length(t) - 5) END)::INTEGER AS score
 FROM (SELECT stable_key, unnest(string_split({_NT}, ' ')) AS t FROM ({SEARCH_SQL})) GROUP BY stable_key""")
 def fuzzy_score(spark, sf_dir):
     terms = text.to_terms(F.col("name"), True)
-    return catalog.search_documents(spark, sf_dir).select("stable_key", text.fuzzy_score(F.lit("wigdet"), terms).cast("int").alias("loose"), text.fuzzy_score(F.lit("widge"), terms).cast("int").alias("score"))
+    return catalog.search_documents(spark, sf_dir).select("stable_key", text.fuzzy_score(F.lit("rings"), terms).cast("int").alias("loose"), text.fuzzy_score(F.lit("widge"), terms).cast("int").alias("score"))
 
 
 @query(f"""SELECT stable_key, CASE WHEN a = 0 AND b = 0 THEN '' WHEN a = 0 THEN (b - 1) || '-' || (b + 4) WHEN b = 0 THEN (a - 1) || '-' || (a + 5) WHEN a < b THEN (a - 1) || '-' || (a + 5) || ',' || (b - 1) || '-' || (b + 4) ELSE (b - 1) || '-' || (b + 4) || ',' || (a - 1) || '-' || (a + 5) END AS ranges

@@ -21,7 +21,7 @@ def duck(data):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NaT:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and pd.isna(v)):
             return "NULL"
         return f"{float(v):.6g}" if isinstance(v, float) and not float(v).is_integer() else str(int(v)) if isinstance(v, float) else str(v)
 
