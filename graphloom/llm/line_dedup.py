@@ -1,11 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Lines without a word play no part; the others are known by a 64-bit hash of their bytes. A line is rare if few
-texts hold it (and it is not short). Every line that several texts hold points from each of them to the first
-of them, so a line of n texts gives n - 1 pairs and not n squared. A pair overlaps if it has a rare line, or
-if the lines that point there have ``LONG`` words together. Overlapping texts are aligned by patience diff over
-the lines that they might share, and of the aligned blocks, those with a rare line or ``LONG`` words are
-deleted from the later text. A text that equals an earlier one is one aligned block: it needs no diff.
+Lines without a word play no part; the others are known by a 64-bit hash of their bytes. Every line that
+several texts hold points from each of them to the first of them, so a line of n texts gives n - 1 pairs and not
+n squared. A pair overlaps if it has a line of ``FULL`` words, or if the lines that point there have ``LONG``
+words together. Overlapping texts are aligned by patience diff over the lines that they might share, and of the
+aligned blocks, those with a line of ``FULL`` words or ``LONG`` words in all are deleted from the later text,
+however many texts hold them. A text that equals an earlier one is one aligned block: it needs no diff.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import kernel, store
 
-#: A rare line: in so many texts at most, of so many words at least.
-RARE_TEXTS, RARE_WORDS = 16, 8
-#: So many words in a row are no coincidence, however many texts have them.
-LONG = 20
+#: A line of so many words, or so many words in a row, is no coincidence.
+FULL, LONG = 8, 20
 
 LINES_DDL = "id long, key long, lines array<struct<place:int,nth:int,h:long,words:int>>, n_words long"
 
@@ -111,7 +109,7 @@ def blocks(later: list[dict], earlier: list[dict]) -> list[int]:
     gone, run = [], []
 
     def close() -> None:
-        if run and (any(x["rare"] for x in run) or sum(x["words"] for x in run) >= LONG):
+        if run and (any(x["words"] >= FULL for x in run) or sum(x["words"] for x in run) >= LONG):
             gone.extend(x["place"] for x in run)
         run.clear()
 
@@ -144,19 +142,18 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null")
     listed = store.written(docs.mapInArrow(_lines, LINES_DDL).filter("n_words > 0"), "lines")
     first = store.written(listed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n > 1"), "copies")
-    copies = listed.join(first.filter(F.col("n_words") >= RARE_WORDS).select("key", "least"), "key").filter("id <> least").select("id", "key", F.col("lines.place").alias("gone")).dropDuplicates(["id", "key"])
+    copies = listed.join(first.filter(F.col("n_words") >= FULL).select("key", "least"), "key").filter("id <> least").select("id", "key", F.col("lines.place").alias("gone")).dropDuplicates(["id", "key"])
 
     whole = listed.join(first.select("key", "least"), "key", "left").filter("least is null or id = least")
     lines = whole.select("id", "key", F.explode("lines").alias("x")).select("id", "key", "x.*")
     at = F.struct("id", "key")
-    held = lines.groupBy("h", "id", "key").agg(F.max("words").alias("words")).groupBy("h").agg(F.count("*").alias("texts"), F.min(at).alias("owner"), F.max("words").alias("w"))
-    rare = (F.col("texts") <= RARE_TEXTS) & (F.col("w") >= RARE_WORDS)
-    shared = store.written(held.filter("texts > 1").select("h", "owner", rare.alias("rare")), "shared-lines")
+    held = lines.groupBy("h", "id", "key").agg(F.max("words").alias("words")).groupBy("h").agg(F.count("*").alias("texts"), F.min(at).alias("owner"))
+    shared = store.written(held.filter("texts > 1").select("h", "owner"), "shared-lines")
     own = store.written(lines.join(shared, "h").dropDuplicates(["id", "key", "place"]), "own-lines")
 
-    evidence = own.filter(at != F.col("owner")).groupBy("id", "key", "owner").agg(F.max("rare").alias("rare"), F.sum("words").alias("words"))
-    pairs = evidence.filter(F.col("rare") | (F.col("words") >= LONG)).select("id", "key", F.col("owner.id").alias("id2"), F.col("owner.key").alias("key2"))
-    texts = own.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("nth", "place", "h", "words", "rare"))).alias("lines"))
+    evidence = own.filter(at != F.col("owner")).groupBy("id", "key", "owner").agg(F.max("words").alias("most"), F.sum("words").alias("words"))
+    pairs = evidence.filter((F.col("most") >= FULL) | (F.col("words") >= LONG)).select("id", "key", F.col("owner.id").alias("id2"), F.col("owner.key").alias("key2"))
+    texts = own.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("nth", "place", "h", "words"))).alias("lines"))
     texts = store.written(texts, "text-lines")
     both = pairs.join(texts.withColumnRenamed("lines", "later"), ["id", "key"]).join(texts.withColumnsRenamed({"id": "id2", "key": "key2", "lines": "earlier"}), ["id2", "key2"])
     aligned = both.select("id", "key", "later", "earlier").mapInArrow(_align, "id long, key long, gone array<int>").filter(F.size("gone") > 0)

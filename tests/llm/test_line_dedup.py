@@ -46,6 +46,15 @@ def test_copies_passages_and_clean_texts(table):
     assert got[95] == (near[2], 5)
 
 
+def test_lone_lines_go_however_many_texts_hold_them(table):
+    rng = random.Random(3)
+    line = words(rng, 12)
+    own = [[words(rng, 9), words(rng, 9)] for _ in range(60)]
+    for n in (2, 16, 17, 60):
+        got = clean(table(["\n".join([a, line, b]) for a, b in own[:n]]))
+        assert got[0][1] == 0 and all(got[i] == ("\n".join(own[i]), 1) for i in range(1, n))
+
+
 def test_order_of_rows_is_no_matter(table):
     rng = random.Random(4)
     own = [words(rng, 15) for _ in range(12)]
