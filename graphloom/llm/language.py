@@ -6,8 +6,8 @@ its host. The prior of a host is smoothed towards that of its suffix, which is s
 table's; all of these, and how far declarations can be trusted, are counts over all rows by the language
 that the text alone suggests, gathered by grouped aggregation.
 
-A row is rejected if its text is unlike every language (its best likelihood a trigram is far below that of the
-sample's texts), or has no trigram of letters at all, or if no language has half of the probability.
+A row is rejected if its text is unlike the language that suits it best (its likelihood a trigram is far below that
+of the sample's texts, or hardly above that of trigrams that the language never has), or has no trigram of letters at all, or if no language has half of the probability.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernel, store
 
 BUCKETS = 1 << 15
-#: Texts with a known language that the model is fitted on, at most; those of the least hashed ids.
+#: Texts with a known language that the model is fitted on, at most; each language's share are those of the least hashed ids.
 MAX_SAMPLE = 4_000
 #: Trigrams of a text overlap, so that their likelihoods count less than independent ones would.
 TEMPER = 0.3
@@ -31,6 +31,8 @@ TEMPER = 0.3
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 20.0, 20.0
 #: Standard deviations below the sample's mean likelihood at which a text is unlike a language.
 SIGMAS = 8.0
+#: How far above the likelihood of unseen trigrams, on the way to the sample's mean, a text must be at least.
+ABOVE_UNSEEN = 0.25
 
 #: Lower-cased letters and bytes of longer characters stay; all else is a space.
 _KEEP = np.full(256, 32, np.uint8)
@@ -91,18 +93,38 @@ def _spread(model: TextModel):
         for batch in batches:
             mean, n = model.score(batch.column(1))
             names = batch.column(0).to_pylist()
-            own = np.array([mean[i, place[x]] for i, x in enumerate(names)]) if names else np.zeros(0)
+            own = np.array([mean[i, place.get(x, 0)] for i, x in enumerate(names)]) if names else np.zeros(0)
             fine = n >= 50
             yield pa.RecordBatch.from_arrays([pa.array([x for x, f in zip(names, fine, strict=True) if f], pa.string()), pa.array(np.ones(int(fine.sum()), np.int64)), pa.array(own[fine]), pa.array(own[fine] ** 2)], names=["language", "n", "total", "squares"])
 
     return spread
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """``most`` rows dealt evenly over the languages; what a language doesn't have goes to the others."""
+    out, left = {}, most
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, -(-left // (len(counts) - k)))
+        left -= out[name]
+    return out
+
+
+def _sample(known: DataFrame, most: int) -> DataFrame:
+    """Ids of the sample, drawn by language. Hashes keep about twice a quota, so that only these rows are ranked."""
+    counts = {r.language: r["count"] for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most).collect()}
+    shares = [(name, q, min(1.0, (2 * q + 50) / counts[name])) for name, q in quotas(counts, most).items()]
+    shares = known.sparkSession.createDataFrame(shares, "language string, quota int, share double")
+    h = F.xxhash64("_id")
+    near = known.join(F.broadcast(shares), "language").filter((F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))) <= F.col("share")).select("_id", "language", "quota").distinct()
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(h, "_id"))
+    return near.withColumn("_rank", rank).filter("_rank <= quota").select("_id", "language")
+
+
 def fit_text_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", most: int = MAX_SAMPLE) -> TextModel:
     """A model of the languages of at most ``most`` rows with text and language; without any, one that rejects all texts."""
     known = df.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{language_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    ids = known.select(F.col(f"`{id_col}`").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-    own = known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{language_col}`").alias("language"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "_id").select("language", "text")
+    known = known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{language_col}`").alias("language"), F.col(f"`{text_col}`").alias("text"))
+    own = known.join(F.broadcast(_sample(known.select("_id", "language"), most)), ["_id", "language"]).select("language", "text")
     counts = own.mapInArrow(_count, COUNT_DDL).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return TextModel(["und"], np.zeros((BUCKETS, 1)), np.array([np.inf]))
@@ -111,12 +133,15 @@ def fit_text_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for k, name in enumerate(names):
         part = counts[counts["language"] == name]
         table[part["bucket"].to_numpy(), k] += part["n"].to_numpy()
-    model = TextModel(names, np.log(table / table.sum(axis=0)), np.full(len(names), -np.inf))
+    log_share = np.log(table / table.sum(axis=0))
+    unseen, mean = log_share.min(axis=0), ((table - 0.5) * log_share).sum(axis=0) / (table - 0.5).sum(axis=0)
+    model = TextModel(names, log_share, unseen + ABOVE_UNSEEN * (mean - unseen))
     rows = own.mapInArrow(_spread(model), SPREAD_DDL).groupBy("language").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("s")).collect()
     for r in rows:
         mean = r.t / r.n
         deviation = max(r.s / r.n - mean * mean, 1e-6) ** 0.5
-        model.least[names.index(r.language)] = mean - SIGMAS * max(deviation, 0.02 * abs(mean))
+        k = names.index(r.language)
+        model.least[k] = max(model.least[k], mean - SIGMAS * max(deviation, 0.02 * abs(mean)))
     return model
 
 
@@ -125,7 +150,7 @@ def _text_evidence(model: TextModel):
         for batch in batches:
             mean, n = model.score(batch.column(1))
             best = mean.argmax(axis=1)
-            like = (mean >= model.least).any(axis=1) & (n > 0)
+            like = (mean[np.arange(len(mean)), best] >= model.least[best]) & (n > 0)
             log = mean * n[:, None] * TEMPER
             log -= log.max(axis=1, keepdims=True) if len(log) else 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, log.size + 1, log.shape[1]), pa.int32()), pa.array(log.ravel()))

@@ -1,3 +1,9 @@
+import base64
+import random
+import string
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import language, queries
@@ -35,3 +41,26 @@ def test_host_prior_decides_where_text_cannot(spark, docs, table):
     rows = table([r.text for r in german], lang=None, source="zeitung.example").unionByName(table([""], lang=None, source="zeitung.example"))
     got = language.identify(rows, model, F.col("text"), F.col("source"), F.col("lang"), {"n": F.col("n_chars")}).filter("n = 0").first()
     assert got.language == "de" and not got.kept
+
+
+SHORT = "ga", "an the agus is bean fear"
+ORDINARY = "ga", "Tá an fear agus an bhean ag dul go dtí an siopa mór sa bhaile chun arán agus bainne a cheannach, agus beidh siad ar ais roimh an dinnéar anocht le chéile arís"
+
+
+@pytest.mark.parametrize("tag, text", [SHORT, ORDINARY])
+def test_a_language_with_one_text_does_not_let_junk_in(docs, table, tag, text):
+    rng = random.Random(6)
+    rows = docs.unionByName(table([text], lang=tag).withColumn("doc_id", F.lit(10**9).cast("long")))
+    model = language.fit_text_model(rows)
+    assert tag in model.languages and (model.least > model.log_share.min(axis=0)).all() and np.isfinite(model.least).all()
+    junk = ["".join(rng.choices(string.ascii_lowercase + " ", k=900)), base64.b64encode(rng.randbytes(600)).decode(), rng.randbytes(400).hex(" "), "a" * 700]
+    junk += ["Мама мыла раму, а папа читал газету и пил чай на кухне. " * 8, "我们今天去学校学习中文和数学然后回家吃饭睡觉。" * 9]
+    good = [r.text for r in docs.filter("length(text) > 300").orderBy("doc_id").limit(20).collect()]
+    got = language.identify(table(junk + good), model, F.col("text"), F.col("source"), F.lit(None), {"doc_id": F.col("doc_id")}).collect()
+    assert not [r for r in got if r.doc_id < len(junk) and r.kept]
+    assert sum(r.kept for r in got if r.doc_id >= len(junk)) >= 19
+
+
+def test_every_language_has_its_share_of_the_sample():
+    assert language.quotas({"en": 10**6, "de": 900, "ga": 1}, 4000) == {"ga": 1, "de": 900, "en": 3099}
+    assert sum(language.quotas({str(k): 10**6 for k in range(7)}, 4000).values()) == 4000
