@@ -1,7 +1,8 @@
 """Secret scans in DataFrame operations only: patterns, then a battery of randomness tests.
 
 Patterns give the base spans. Beside them, every run of 20 or more characters of the base64 family is a
-candidate. Its encoding is inferred (hex, base32, lower or upper letters with digits, base64), and three tests
+candidate, and so is each part of it between equals signs and between any separators (a name or a path may be
+joined to the secret). Its encoding is inferred (hex, base32, lower or upper letters with digits, base64), and three tests
 ask whether its symbols are uniform and independent in that alphabet: chi-squared, runs above and below the
 middle, and serial correlation. A candidate that fails any of them, at 1 % together, is no discovery.
 For the others, evidence is the likelihood of the uniform alphabet against a model of prose, which grows with
@@ -26,6 +27,8 @@ ASSIGN_WORDS = r"(?i)password|passwd|secret|token|api_?key"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Parts of a candidate that are tested by themselves, from the battery's least length on.
+PARTS = (r"[A-Za-z0-9+/_-]{16,}", r"[A-Za-z0-9+]{16,}")
 FDR = 0.001
 #: One- and two-sided limits of a normal value at 1 % over three tests.
 Z_ONE, Z_TWO = 2.713, 2.935
@@ -64,6 +67,17 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     return _let(parts, sums)
 
 
+def _with_parts(found: Column) -> Column:
+    """The candidates and, where separators stand within, their parts, each span once."""
+
+    def parts(c: Column) -> Column:
+        inner = F.concat(*[_spans(c["value"], p, 3) for p in PARTS])
+        moved = F.transform(inner, lambda s: F.struct((c["start"] + s["start"]).alias("start"), s["order"].alias("order"), (c["start"] + s["end"]).alias("end"), s["value"].alias("value")))
+        return F.when(c["value"].rlike("[=/_-]"), F.array_union(F.array(c), moved)).otherwise(F.array(c)).cast(SPAN)
+
+    return F.flatten(F.transform(found, parts))
+
+
 def _guarded(text: Column, guard: str, spans: Column) -> Column:
     return F.when(text.rlike(guard), spans).otherwise(F.array().cast(SPAN))
 
@@ -121,7 +135,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     assign = F.filter(_guarded(text, ASSIGN_WORDS, _spans(text, ASSIGN, 0)), lambda s: F.length(s["value"]) >= 6)
     base = F.concat(assign, _guarded(text, ACCESS, _spans(text, ACCESS, 1)), _guarded(text, HEX, _spans(text, HEX, 2)))
     bare = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
-    found = df.withColumn("_base", F.array_sort(bare(base))).withColumn("_more", _guarded(text, CANDIDATE, _spans(text, CANDIDATE, 3)))
+    found = df.withColumn("_base", F.array_sort(bare(base))).withColumn("_more", _guarded(text, CANDIDATE, _with_parts(_spans(text, CANDIDATE, 3))))
     free = F.filter("_more", lambda c: ~F.exists("_base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
     tested = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["order"].alias("order"), c["end"].alias("end"), battery(c["value"]).alias("test")))
     return found.withColumn("_more", tested)
@@ -140,8 +154,10 @@ def threshold(found: DataFrame, fdr: float = FDR) -> float:
 
 
 def all_spans(least: float) -> Column:
-    """All spans of a row of ``scan``, by start, then kind."""
-    more = F.filter("_more", lambda c: c["test"]["evidence"] >= F.lit(least))
+    """All spans of a row of ``scan``, by start, then kind; of candidates within each other the longest that is a discovery."""
+    found = F.filter("_more", lambda c: c["test"]["evidence"] >= F.lit(least))
+    within = lambda xs, c: F.exists(xs, lambda d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"]))
+    more = _let(found, lambda xs: F.filter(xs, lambda c: ~within(xs, c)))
     return F.array_sort(F.concat("_base", F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["order"].alias("order"), c["end"].alias("end")))))
 
 
