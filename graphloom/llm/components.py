@@ -1,9 +1,8 @@
 """Connected components by contraction and alternating large-star and small-star steps, all of it distributed.
 
-Each round first contracts the edges that lie together in a partition, in chunks of bounded size, without a
-shuffle; then come the two steps, each one aggregation and one join. No task sees more than its share of the
-edges of a hub, as minima are pre-aggregated and skewed joins are split by adaptive execution. Rounds end when
-the edges are stars.
+Each round is one aggregation and one join for either step; then the edges that lie together in a partition are
+contracted, in chunks of bounded size, without a shuffle. The edges of a hub are dealt over many tasks. Rounds end
+when the edges are stars.
 """
 
 from __future__ import annotations
@@ -15,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import store
-
+from graphloom.llm import skew, store
 
 #: Edges that one task contracts together; what it holds is bounded by that.
-CHUNK = 500_000
+CHUNK = 250_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,16 +57,18 @@ def _unsettled(edges: DataFrame) -> bool:
     return not seen.filter("out > 0 and (out < n or a <> b)").isEmpty()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return skew.join(both.filter("v > u"), least.select("u", "m"), ["u"], skew.heavy_of(least, 2 * total), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = skew.join(down, least.select("u", "m"), ["u"], skew.heavy_of(least, total), ["v"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -83,9 +83,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = edges.filter("u is not null and v is not null and u <> v")
     now = store.written(edges.mapInArrow(_contract, "u long, v long"), name)
     while _unsettled(now):
-        then = store.written(_small_star(_large_star(now.mapInArrow(_contract, "u long, v long"))), name)
-        if place := store.path_of(now):
-            store.remove(spark, place)
+        total = now.count()
+        wide = store.written(_large_star(now, total), name)
+        then = store.written(_small_star(wide, wide.count()).mapInArrow(_contract, "u long, v long"), name)
+        for old in (now, wide):
+            if place := store.path_of(old):
+                store.remove(spark, place)
         now = then
     now = now.distinct()
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

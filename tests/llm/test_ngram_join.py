@@ -95,3 +95,51 @@ def test_bound_loses_nothing():
     sets = [np.unique(rng.integers(0, 2**64, 30, np.uint64)) for _ in range(5)]
     sets += [np.unique(np.concatenate((sets[0][3:], rng.integers(0, 2**64, 1, np.uint64))))]
     assert ngram_join.forest_of(list(range(6)), sets, np.full(6, 2), 85) == [(0, 5)]
+
+
+def test_a_chain_of_unlike_texts_makes_few_comparisons(table, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    links = [[word() for _ in range(10)] for _ in range(3001)]
+    texts = [" ".join(links[i] + links[i + 1]) for i in range(3000)]
+    seen, whole = [], ngram_join._tiles
+
+    def tiles(*a):
+        seen.append(whole(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "_tiles", tiles)
+    rows = ngram_join.jaccard_components(table(texts), words=1, percent=60).collect()
+    assert all(r.component_id == r.id for r in rows)
+    assert len(seen) == 1
+    met = {}
+    for r in seen[0].collect():
+        met.setdefault(r.tile, []).append(r.side)
+    pairs = sum(s.count(0) * s.count(1) + s.count(2) ** 2 // 2 for s in met.values())
+    assert sum(map(len, met.values())) <= 6 * 3000 and pairs < 3000 * 3000 / 2 / 8
+
+
+def test_a_large_group_of_near_copies_meets_the_least_only(table, monkeypatch):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(120)]
+    texts = []
+    for i in range(900):
+        own = base.copy()
+        own[rng.randrange(4, 120)] = f"z{i}"
+        texts.append(" ".join(own))
+    seen, whole = [], ngram_join._tiles
+
+    def tiles(*a):
+        seen.append(whole(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "_tiles", tiles)
+    rows = ngram_join.jaccard_components(table(texts)).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert seen[0].count() == 0
+
+
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " x"), (4, b + " x y")], "doc_id long, text string")
+    assert {r.id: r.component_id for r in ngram_join.jaccard_components(rows, words=2, percent=60).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
