@@ -81,6 +81,19 @@ class SpanHashes:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class SequenceHashes:
+    """Hashes of any ranges of a sequence of hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        forth, self.back = _power_tables(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix(hashes) * forth[: len(hashes)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word."""
     if not len(data):

@@ -1,45 +1,18 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+from test_line_dedup import brute as aligned
 from test_line_dedup import words as made_words
 from test_ngram_join import brute as components_of
 from test_secret_scan import brute as secrets_of
 from test_tokens import FILES, PAIRS, valid
 
-from graphloom.llm import line_dedup
-
 
 def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
 
-def aligned(texts):
-    """Line dedup by brute force: every pair of an earlier and a later text."""
-    out = {}
-    ids = sorted(texts)
-    kept = {i: [(p, line) for p, line in enumerate(texts[i].split("\n")) if line.split()] for i in ids}
-    first, holders = {}, {}
-    for i in ids:
-        first.setdefault(texts[i], i)
-    for i in ids:
-        if first[texts[i]] == i:
-            for _, line in kept[i]:
-                holders.setdefault(line, set()).add(i)
-    rare = {h: len(o) <= line_dedup.RARE_TEXTS and len(h.split()) >= line_dedup.RARE_WORDS for h, o in holders.items()}
-    for i in ids:
-        gone = set()
-        if first[texts[i]] != i and len(texts[i].split()) >= line_dedup.RARE_WORDS:
-            gone = {p for p, _ in kept[i]}
-        elif first[texts[i]] == i:
-            rows = lambda k: [{"place": p, "nth": n, "h": h, "words": len(h.split()), "rare": rare[h]} for n, (p, h) in enumerate(kept[k]) if len(holders[h]) > 1]
-            for j in {min(holders[h]) for _, h in kept[i] if len(holders[h]) > 1} - {i}:
-                lines = [h for _, h in kept[i] if len(holders[h]) > 1 and min(holders[h]) == j]
-                if any(rare[h] for h in lines) or sum(len(h.split()) for h in lines) >= line_dedup.LONG:
-                    gone |= set(line_dedup.blocks(rows(i), rows(j)))
-        out[i] = "\n".join(x for p, x in enumerate(texts[i].split("\n")) if p not in gone)
-    return out
-
-
 def test_stages(spark, data, docs):
     said = stage("language ID")(spark, docs, data)
     assert said.columns == docs.columns and said.count() >= 0.97 * docs.count()
@@ -85,6 +58,15 @@ def test_repeated_rows_stay_once(spark, data, table):
     assert sorted(r.doc_id for r in rows) == [0, 2]
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark, data, table):
+    rng = random.Random(2)
+    a, b, c = (made_words(rng, 40) for _ in range(3))
+    rows = table([a, b, c, a + " end"]).unionByName(table([b, c])).withColumn("doc_id", F.expr("if(doc_id = 3, 1, doc_id)"))
+    kept = stage("n-gram Jaccard join")(spark, rows, data).collect()
+    assert len(kept) == 3
+    assert {frozenset(t for t in (a, b, c) if r.text.startswith(t)) for r in kept} == {frozenset([t]) for t in (a, b, c)}
+
+
 def test_odd_and_empty_tables(spark, data, docs, odd):
     extra = ["id", "key", "component_id", "kept", "piece", "sequence_id", "language", "block", "gone"]
     some = docs.limit(30).withColumns({c: docs.source for c in extra})

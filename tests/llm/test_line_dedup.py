@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,35 @@ def words(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 7))) for _ in range(n))
 
 
+def brute(texts, full=8, long=20):
+    """Every pair of an earlier and a later text, every run of neighbouring lines that both have in a row."""
+    count = lambda line: len(re.findall("[^\x20\x09-\x0d]+", line))
+    rows = {i: [(p, x, count(x)) for p, x in enumerate((t or "").split("\n")) if count(x)] for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        if any(texts[j] == texts[i] for j in ids[:n]):
+            if sum(w for *_, w in rows[i]) >= full:
+                gone[i] = {p for p, *_ in rows[i]}
+            continue
+        for j in ids[:n]:
+            a, b = rows[i], rows[j]
+            where = {}
+            for y, (_, line, _) in enumerate(b):
+                where.setdefault(line, []).append(y)
+            for x, (_, line, _) in enumerate(a):
+                for y in where.get(line, []):
+                    if x and y and a[x - 1][1] == b[y - 1][1]:
+                        continue
+                    k = 0
+                    while x + k < len(a) and y + k < len(b) and a[x + k][1] == b[y + k][1]:
+                        k += 1
+                    own = a[x : x + k]
+                    if any(w >= full for *_, w in own) or sum(w for *_, w in own) >= long:
+                        gone[i] |= {p for p, *_ in own}
+    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in texts.items()}
+
+
 def clean(df):
     return {r.doc_id: (r.text, r._n_removed) for r in line_dedup.dedup(df).collect()}
 
@@ -77,20 +107,49 @@ def test_odd_rows(spark, odd, table):
     assert line_dedup.dedup(table([])).count() == 0
 
 
+def test_random_texts_against_every_pair(table):
+    rng = random.Random(6)
+    pool = [words(rng, n) for n in (1, 2, 3, 3, 4, 5, 6, 7, 7, 7, 8, 12, 21)]
+    texts = ["\n".join(rng.choices([*pool, "", words(rng, 9), words(rng, 3)], k=rng.randrange(1, 12))) for _ in range(250)]
+    texts += ["\n".join([x, y, z]) for x in pool[3:8] for y in pool[:6] for z in pool[5:12]]
+    rng.shuffle(texts)
+    got = {i: t for i, (t, _) in clean(table(texts)).items()}
+    assert got == brute(dict(enumerate(texts)))
+
+
+def test_blocks_in_another_order(table):
+    rng = random.Random(10)
+    x, y, z = (words(rng, 12) for _ in range(3))
+    got = clean(table(["\n".join(t) for t in ([x, y], [y, x], [y, x, z])]))
+    assert [got[i][0] for i in range(3)] == [f"{x}\n{y}", "", z]
+    short = [words(rng, 7) for _ in range(3)]
+    got = clean(table(["\n".join(t) for t in (short, short[::-1], [*short[::-1], z])]))
+    assert [got[i][1] for i in range(3)] == [0, 0, 3]
+
+
+def test_one_very_long_text(table):
+    rng = random.Random(11)
+    lines = [words(rng, 9) for _ in range(16000)]
+    got = clean(table(["\n".join(lines), "\n".join(["new"] + lines[::2]), "\n".join(lines[5000:5003])]))
+    assert got[0][1] == 0 and got[1] == ("new", 8000) and got[2] == ("", 3)
+
+
+def test_a_very_common_passage_makes_linear_pairs(table, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(line_dedup, "ALIGNED", 7)
+    monkeypatch.setattr(line_dedup.skew, "LEAST", 5)
+    monkeypatch.setattr(line_dedup.skew, "SHARE", 10)
+    passage = [words(rng, 6) for _ in range(4)]
+    texts = ["\n".join([words(rng, 4), *passage, words(rng, 5)]) for _ in range(120)]
+    got = {i: t for i, (t, _) in clean(table(texts)).items()}
+    assert got == brute(dict(enumerate(texts)))
+
+
 def test_query(spark, data, docs):
     rows = queries.op3_line_dedup(spark, data).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert len(rows) == len(texts)
+    want = brute(texts)
+    assert {r.doc_id: r.text for r in rows} == want
     for r in rows:
-        before, after = texts[r.doc_id].split("\n"), r.text.split("\n")
-        assert r.n_lines == len(before)
-        if r.n_removed == 0:
-            assert r.text == texts[r.doc_id]
-        left = iter(before)
-        assert r.n_removed == len(before) or all(x in left for x in after)
-    first = {}
-    for i in sorted(texts):
-        if len(texts[i].split()) >= 8:
-            if texts[i] in first:
-                assert {r.doc_id: r.text for r in rows if r.doc_id == i}[i].strip() == ""
-            first.setdefault(texts[i], i)
+        assert r.n_lines == len(texts[r.doc_id].split("\n"))
+        assert (r.n_removed == 0) == (r.text == texts[r.doc_id])
