@@ -237,8 +237,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketch = store.written(docs.mapInArrow(_sketch(words, percent, classes), SKETCH_DDL), "shingles")
     known = sketch.filter("id is not null and size > 0")
 
-    least = known.groupBy("key1", "key2", "size").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key1", "key2", "size", "least")
-    copies = store.written(known.select("id", "key1", "key2", "size").join(least, ["key1", "key2", "size"]).filter("id <> least").select("id", "key1", "least").distinct(), "copies")
+    keys = ["key1", "key2", "size"]
+    least = store.written(known.groupBy(*keys).agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "equal-sets")
+    same = skew.join(known.select("id", *keys), least.drop("n"), keys, skew.heavy_of(least, sketch.count()), ["id"])
+    copies = store.written(same.filter("id <> least").select("id", "key1", "least").distinct(), "copies")
 
     members = known.select("id", "key1", "size", "n_first", F.explode("first").alias("h"))
     shared = store.written(members.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared-shingles")
