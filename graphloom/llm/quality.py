@@ -1,7 +1,10 @@
-"""Quality rules: counts over whole texts, fixed limits, and an isolation forest over the rules' statistics.
+"""Quality rules: counts over whole texts, fixed limits, and isolation forests over the rules' statistics.
 
-The forest grows random splits on a bounded sample of labelled rows; documents that few splits set apart from
-the rest are anomalous. How short a mean path must be for a document to go is calibrated on the labels.
+A forest grows random splits on a bounded sample of labelled rows; documents that few splits set apart from
+the rest are anomalous. How short a mean path must be for a document to go is calibrated on the labels. There is
+one forest for what the words are made of and one for repetition and length, and a document goes if either says
+so: in a single forest over all statistics, splits on those that vary among good documents, such as the length, hid
+most of the junk that the others tell.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ TREES, SAMPLE = 256, 64
 #: A labelled good document that goes weighs as much as so many bad ones that stay.
 GOOD_WEIGHT = 25
 SYMBOLS = b"#*$%&|<>"
+#: Columns of ``statistics`` of each forest: word length, symbols, capitals, marks; repeated lines and words, length.
+GROUPS = ((0, 1, 2, 3), (4, 5, 6))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 
 
@@ -85,10 +90,11 @@ def rule_counts(column: pa.Array) -> np.ndarray:
 
 
 def statistics(counts: np.ndarray) -> np.ndarray:
-    """The rules' statistics of each document: shares that don't grow with length."""
+    """The rules' statistics of each document: shares, and the logarithm of its length."""
     c = dict(zip(COUNTS, counts.T.astype(np.float64), strict=True))
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    return np.stack([c["word_chars"] / words, c["n_symbols"] / chars, c["n_upper"] / chars, c["n_marks"] / chars], axis=1)
+    shares = [c["word_chars"] / words, c["n_symbols"] / chars, c["n_upper"] / chars, c["n_marks"] / chars, c["n_dup_lines"] / words, c["n_repeat_words"] / words]
+    return np.stack([*shares, np.log(words)], axis=1)
 
 
 def base_failed(counts: np.ndarray) -> np.ndarray:
@@ -161,51 +167,56 @@ class Forest:
             self.threshold = float((scores[order][best] + after) / 2)
 
 
-LABELLED_DDL = "good boolean, " + ", ".join(f"{c} long" for c in COUNTS)
-RESULT_DDL = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double, kept boolean"
+LABELLED_DDL = "doc_id long, good boolean, " + ", ".join(f"{c} long" for c in COUNTS)
+RESULT_DDL = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, anomaly double, repetition_anomaly double"
 
 
 def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = rule_counts(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], names=["good", *COUNTS])
+        counts = rule_counts(batch.column(2))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], names=["doc_id", "good", *COUNTS])
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Forest | None:
-    """A forest with its threshold, from at most ``most`` labelled documents; None if there are none.
+def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Forest] | None:
+    """A forest with its threshold for each of ``GROUPS``, from at most ``most`` labelled documents; None if there are none.
 
-    Labels without an id or a quality are left out; a document with several labels is good if all say so.
+    Labels without an id or a quality are left out; a document with several labels is good if all say so, and one
+    with several texts counts with that of the least counts, so there are never more rows than labels.
     """
     own = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("good", "text")
-    found = np.array([tuple(r) for r in texts.mapInArrow(_count_labelled, LABELLED_DDL).limit(2 * most).collect()], np.int64).reshape(-1, 1 + len(COUNTS))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("doc_id", "good", "text")
+    each = texts.mapInArrow(_count_labelled, LABELLED_DDL).groupBy("doc_id").agg(F.min(F.struct("good", *COUNTS)).alias("x")).select("x.*")
+    found = np.array([tuple(r) for r in each.collect()], np.int64).reshape(-1, 1 + len(COUNTS))  # a row a label, at most ``most``
     found = found[np.lexsort(found.T[::-1])]  # the same forest however the rows arrive
     found = found[~base_failed(found[:, 1:])]
     if len(found) < 2:
         return None
     rows = statistics(found[:, 1:])
-    forest = Forest.grow(rows)
-    forest.calibrate(rows, found[:, 0] > 0)
-    return forest
+    forests = [Forest.grow(rows[:, list(columns)]) for columns in GROUPS]
+    for forest, columns in zip(forests, GROUPS, strict=True):
+        forest.calibrate(rows[:, list(columns)], found[:, 0] > 0)
+    return forests
 
 
-def _judge(forest: Forest | None):
+def _judge(forests: list[Forest] | None):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = rule_counts(batch.column(1))
-            failed = base_failed(counts)
-            scores = forest.scores(statistics(counts)) if forest and len(counts) else np.zeros(len(counts))
-            kept = ~failed & (scores < (forest.threshold if forest else np.inf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(scores), pa.array(kept)], names=["id", *COUNTS[:5], "base_failed", "anomaly", "kept"])
+            failed, rows = base_failed(counts), statistics(counts)
+            scores = [f.scores(rows[:, list(columns)]) for f, columns in zip(forests, GROUPS, strict=True)] if forests and len(counts) else [np.zeros(len(counts))] * len(GROUPS)
+            kept = ~failed
+            for f, own in zip(forests or [], scores, strict=False):
+                kept &= own < f.threshold
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(kept), *map(pa.array, scores)], names=["id", *COUNTS[:5], "base_failed", "kept", "anomaly", "repetition_anomaly"])
 
     return judge
 
 
-def judged(df: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rules' counts, the forest's anomaly and the verdict for each row.
+def judged(df: DataFrame, forests: list[Forest] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rules' counts, the verdict and both forests' anomalies for each row.
 
     A null text counts as empty and fails the base rule, as does any with under 50 words. Repeated rows are
-    kept; an empty table gives no rows; other columns aren't returned. Without a forest the base rule decides.
+    kept; an empty table gives no rows; other columns aren't returned. Without forests the base rule decides.
     """
-    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_judge(forest), RESULT_DDL)
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_judge(forests), RESULT_DDL)

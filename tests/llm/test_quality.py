@@ -41,6 +41,35 @@ def test_query(spark, data, docs):
         assert not (r.kept and r.base_failed)
 
 
+def path_length(forest, tree, row):
+    """Splits that set a row apart in one tree, counted one by one."""
+    node = 0
+    while forest.feature[tree][node] >= 0:
+        node = 2 * node + (2 if row[forest.feature[tree][node]] > forest.cut[tree][node] else 1)
+    return forest.path[tree][node]
+
+
+def test_verdicts_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forests = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.judged(docs, forests).collect():
+        t = texts[r.id]
+        n, chars, symbols, dup, repeated = brute(t)
+        upper = len(re.findall("[A-Z]", t))
+        marks = len(re.findall(r"[!-/:-@\[-`{-~]", t))
+        row = [chars / max(n, 1), *(x / max(chars, 1) for x in (symbols, upper, marks)), dup / max(n, 1), repeated / max(n, 1), np.log(max(n, 1))]
+        usual = 2 * (np.log(quality.SAMPLE - 1) + 0.5772156649015329) - 2 * (quality.SAMPLE - 1) / quality.SAMPLE
+        fine = not r.base_failed
+        for forest, columns, got in zip(forests, quality.GROUPS, (r.anomaly, r.repetition_anomaly), strict=True):
+            own = [row[k] for k in columns]
+            mean = np.mean([path_length(forest, k, own) for k in range(len(forest.feature))])
+            assert abs(got - 2 ** (-mean / usual)) < 1e-9
+            fine &= got < forest.threshold
+        assert r.kept == fine
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -59,3 +88,6 @@ def test_odd_tables(spark, odd, table):
     rows = quality.judged(odd.withColumnRenamed("n_chars", "kept"), forest).collect()
     assert len(rows) == odd.count() and not any(r.kept for r in rows)
     assert quality.judged(table([]), forest).count() == 0
+    again = quality.judged(odd.unionByName(odd), forest)
+    assert again.count() == 2 * odd.count() == 2 * again.distinct().groupBy("id").count().count()
+    assert again.columns == ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly", "repetition_anomaly"]
