@@ -22,11 +22,14 @@ DIGITS = 3
 STEP = 4 * DIGITS
 KEY_DIGITS = 15
 LEVELS = 2 * KEY_DIGITS // DIGITS
+#: Equal rows that one task numbers.
+RUN = 10_000
 
 
 def key_hash(columns: Sequence[str]) -> Column:
     """First 60 bits of MD5, as 15 hex digits; one column is hashed as its string, more of them as JSON."""
-    text = F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*[F.col(c) for c in columns]))
+    own = [F.col(f"`{c}`") for c in columns]
+    text = own[0].cast("string") if len(own) == 1 else F.to_json(F.struct(*own))
     return F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, KEY_DIGITS)
 
 
@@ -59,29 +62,35 @@ def assign_shards(df: DataFrame, key: Sequence[str], size: Column, limit: int) -
     (``large:...``, depth -1). Null keys hash as empty strings, null sizes count 0, repeated rows are all
     kept, an empty table gives no rows. Other columns of ``df``, whatever their names, are not returned.
     """
+    return _assigned(df, key, size, limit, list(key))
+
+
+def _assigned(df: DataFrame, key: Sequence[str], size: Column, limit: int, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of each row of ``df``, then what ``assign_shards`` says of it."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    key = list(key)
     row_hash = F.substring(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).cast("binary")), 1, KEY_DIGITS)
-    keys = [F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(key)]
-    base = df.select(*keys, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key_hash(key).alias("_hash"))
-    rows = store.written(base, "shard-rows")
-    names = [f"_key{i}" for i in range(len(key))]
-    out = [F.col(f"_key{i}").alias(c) for i, c in enumerate(key)]
+    names = [f"_keep{i}" for i in range(len(keep))]
+    kept = [F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)]
+    base = [*kept, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key_hash(list(key)).alias("_hash")]
+    rows = store.written(df.select(*base), "shard-rows")
+    out = [F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]
 
     def result(part: DataFrame) -> DataFrame:
         return part.select(*out, F.col("_size").alias("n_bytes"), F.col("depth").cast("int"), "shard_id", "shard_bytes", "shard_rows")
 
     def numbered(part: DataFrame) -> DataFrame:
-        """Rows that agree in key, size and hash, counted and then told apart by a number."""
+        """Rows that agree in all columns, counted and then told apart by a number: ``RUN`` of them a task."""
         same = part.groupBy(*names, "_size", "_hash").agg(F.count("*").alias("_n"))
-        return same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+        runs = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))).alias("_run")).repartition("_hash", "_run")
+        last = F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1
+        return runs.select("*", F.explode(F.sequence(F.col("_run") * RUN, last)).alias("_i")).drop("_run")
 
     large = numbered(rows.filter(F.col("_size") > limit)).withColumns({"depth": F.lit(-1), "shard_id": F.concat_ws(":", F.lit("large"), "_hash", F.col("_size").cast("string"), F.col("_i").cast("string")), "shard_bytes": F.col("_size"), "shard_rows": F.lit(1).cast("long")})
     done, pending = [result(large)], rows.filter(F.col("_size") <= limit)
     for level in range(LEVELS):
         if level * DIGITS == KEY_DIGITS:  # the key's bits are used up: go on with those of the whole row
-            full = df.select(*keys, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key_hash(key).alias("_hash"), row_hash.alias("_row"))
+            full = df.select(*base, row_hash.alias("_row"))
             left = pending.select("_hash").distinct()
             pending = store.written(full.filter(F.col("_size") <= limit).join(left, "_hash", "left_semi").withColumn("_hash", F.concat("_hash", "_row")).drop("_row"), "shard-pending")
         directory = store.written(_directory(pending, level, limit), "shard-directory")
@@ -102,12 +111,17 @@ def assign_shards(df: DataFrame, key: Sequence[str], size: Column, limit: int) -
 def write_shards(df: DataFrame, key: Sequence[str], size: Column, limit: int, path: str) -> DataFrame:
     """Writes ``df`` as Parquet under ``path``/shard_id=..., one folder a shard, and returns the shards.
 
-    ``key`` must identify a row; rows of one key that were split go to the shard of each copy at random.
+    Every row goes to its own shard, those of one key that was split too, so each folder keeps within the limit
+    but for single rows above it. A column of ``df`` named shard_id is written as shard_id_ (the folders have the
+    name); names that differ in case only, or no column at all, are errors of Parquet's.
     """
-    placed = assign_shards(df, key, size, limit)
-    shards = placed.select("shard_id", "depth", "shard_bytes", "shard_rows").distinct()
-    one = placed.dropDuplicates(list(key)).select(*[F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(key)], F.col("shard_id").alias("_shard"))
-    match = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(key)])
-    joined = df.join(one, match, "left").drop(*[f"_key{i}" for i in range(len(key))])
-    joined.withColumnRenamed("_shard", "shard_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
-    return shards
+    plain = df.withColumnRenamed("shard_id", "shard_id_")
+    held = {c: f"_col{i}" for i, c in enumerate(plain.columns)}
+    renamed = plain.withColumnsRenamed(held)
+    # the size may name columns of df, so it is computed before they are renamed
+    sized = df.select(*[F.col(f"`{c}`").alias(f"_col{i}") for i, c in enumerate(df.columns)], size.alias("_bytes"))
+    own = [held["shard_id_" if c == "shard_id" else c] for c in key]
+    placed = store.written(_assigned(sized, own, F.col("_bytes"), limit, renamed.columns), "placed-rows")
+    rows = placed.select(*[F.col(h).alias(c) for c, h in held.items()], "shard_id")
+    rows.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    return placed.select("shard_id", "depth", "shard_bytes", "shard_rows").distinct()

@@ -55,6 +55,30 @@ def test_a_key_with_most_rows_and_equal_rows(spark):
     assert len(out) == 203 and len(check(out, 55)) == 41
 
 
+def test_odd_names_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 3)
+    rows = [("k" * (i % 3), "w " * 300_000 if i == 4 else "ab", str(i), 1) for i in range(9)] * 4
+    df = spark.createDataFrame(rows, "`a.b` string, text string, shard_id string, depth int")
+    two = sharding.assign_shards(df.withColumnRenamed("shard_id", "c d"), ["a.b", "c d"], F.octet_length("text"), 10).collect()
+    assert len(two) == 36
+    out = sharding.assign_shards(df, ["a.b"], F.octet_length("text"), 10).collect()
+    assert Counter(r["a.b"] for r in out) == Counter(r[0] for r in rows)
+    check(out, 10)
+
+
+def test_split_keys_are_written_to_their_own_shards(spark, tmp_path):
+    rows = [("hot", "x" * 10, i, "s") for i in range(60)] + [("hot", "x" * 10, 0, "s")] * 9 + [("cold", "y" * 80, 1, "t"), (None, None, 2, None)]
+    df = spark.createDataFrame(rows, "key string, text string, n int, shard_id string")
+    shards = {s.shard_id: s for s in sharding.write_shards(df, ["key"], F.octet_length("text"), 50, f"{tmp_path}/out").collect()}
+    back = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").collect()
+    assert Counter((r.key, r.text, r.n, r.shard_id_) for r in back) == Counter(rows)
+    held = defaultdict(list)
+    for r in back:
+        held[str(r.shard_id)].append(len(r.text or ""))
+    assert set(held) == set(shards)
+    assert all(sum(v) == shards[k].shard_bytes and len(v) == shards[k].shard_rows and (sum(v) <= 50 or len(v) == 1) for k, v in held.items())
+
+
 def test_empty_and_written(spark, table, tmp_path):
     assert sharding.assign_shards(table([]), ["doc_id"], F.octet_length("text"), 10).count() == 0
     df = table(["abc", "defg", None, "hi"])
