@@ -6,8 +6,9 @@ a checksum over data that hold checksums stays sound. The payload is a document'
 vocabulary allows it and four otherwise. The index has one fixed-size entry a record, so that a shuffled
 reader finds record k without reading those before it.
 
-Files are written in ascending order of document by tasks that may be run again: a file is put under its
-final name only when it is whole, and a second run of a task writes the same bytes.
+Files are written in ascending order of document by tasks that may be run again: every attempt writes files of
+its own name and never touches another's, and the list of files names those of the attempts that counted. So
+nothing is renamed or replaced, which not every store can do; files of lost attempts are on no list.
 """
 
 from __future__ import annotations
@@ -62,13 +63,13 @@ def _writer(tokenizer: str, end_id: int, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         files, place = _open(folder)
-        enc, own = encoder(tokenizer), uuid.uuid4().hex
+        enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        name, draft = f"{place}/part-{part:06d}", f"{place}/.draft-{part:06d}-{own}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
         files.create_dir(place)
         records = ids = at = 0
         entries: list[tuple] = []
-        with files.open_output_stream(f"{draft}.rec") as out, files.open_output_stream(f"{draft}.idx") as index:
+        with files.open_output_stream(f"{place}/{name}.rec") as out, files.open_output_stream(f"{place}/{name}.idx") as index:
             for batch in batches:
                 docs = iter(batch.column(0).to_pylist())
                 for tokens, bounds in enc.encode_texts(batch.column(1)):
@@ -80,9 +81,7 @@ def _writer(tokenizer: str, end_id: int, folder: str):
                         at, records, ids = at + len(payload) + 16, records + 1, ids + n
                 index.write(np.array(entries, INDEX).tobytes())
                 entries.clear()
-        for kind in ("rec", "idx"):
-            files.move(f"{draft}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/part-{part:06d}"], "records": [records], "ids": [ids], "bytes": [at], "width": pa.array([enc.dtype.itemsize], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "records": [records], "ids": [ids], "bytes": [at], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
     return write
 
@@ -94,11 +93,13 @@ ROWS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends ``end_id`` and writes the record files and indexes; returns the files.
 
-    Rows go in ascending order of id, nulls first; rows of one id by their text. A null text is empty. An
-    empty table gives files without records, or none. ``folder`` must be reached by all executors.
+    Rows go in ascending order of id, nulls first; rows of one id by a hash of their text, then the text, so that
+    many of them needn't lie in one file. A null text is empty. An empty table gives files without records, or
+    none. Other columns, whatever their names, are left out. ``folder`` must be reached by all executors.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     made = ranged.mapInArrow(_writer(tokenizer, end_id, folder), FILES_DDL).collect()  # one short row a file
     spark = df.sparkSession
     return spark.createDataFrame(sorted(made, key=lambda r: r.part), FILES_DDL)
@@ -159,7 +160,7 @@ def read_records(spark: SparkSession, files: DataFrame) -> DataFrame:
         base += f.ids
     jobs = [j for j in jobs if j[1]]
     table = spark.createDataFrame(jobs, "file string, records long, width int, base long")
-    return table.repartition(max(1, len(jobs)), "file").mapInArrow(_reader, ROWS_DDL)
+    return table.coalesce(1).repartition(max(1, len(jobs))).mapInArrow(_reader, ROWS_DDL)  # a file a task
 
 
 def read_at(file: str, width: int, which: list[int]) -> Iterator[np.ndarray]:

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -135,3 +136,34 @@ def test_any_plan_places_every_piece_once(counts):
                 seen.add((s, p))
             filled[s] = filled.get(s, 0) + length
     assert all({p for q, p in seen if q == s} == set(range(n)) for s, n in filled.items())
+
+
+def test_a_plan_of_many_lengths_is_quick_and_full():
+    rng = np.random.default_rng(1)
+    lengths, counts = np.unique(rng.integers(1, 2049, 20_000), return_counts=True)
+    began = time.perf_counter()
+    plan = packing.Plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
+    assert time.perf_counter() - began < 4
+    least = max(-(-int((lengths * counts).sum()) // 2048), int(counts[lengths > 1024].sum()))
+    assert plan.sequences <= 1.012 * least
+
+
+def test_packing_repeated_and_long_texts(table):
+    df = table(["a b c", None, "word " * 100_000])
+    df = df.unionByName(df).withColumnsRenamed({"lang": "length", "source": "piece"})
+    path = public_tokenizers.path(FILES[1])
+    pieces = packing.token_pieces(df, path, 0)
+    rows = packing.pack(pieces.withColumnRenamed("start", "_rank")).collect()
+    assert len(rows) == pieces.count() and sum(r.doc_id == 1 for r in rows) == 2
+    valid(rows)
+
+
+def test_records_of_many_equal_ids_are_files_apart(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("1 as doc_id", "concat('t', id) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = token_records.write_records(rows, f"file://{tmp_path}/out", public_tokenizers.path(FILES[0]), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.filter("records > 0").count() > 1
+    assert token_records.read_records(spark, files).count() == 4000
