@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; on one machine, where the session names none, a folder of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.graphloom.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.graphloom.dir", place)
     return place.rstrip("/")
