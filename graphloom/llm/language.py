@@ -4,7 +4,9 @@ Four kinds of evidence are combined for each language: the likelihood of the tex
 trigrams; the language that the document or its markup declares; the suffix of its address; and the prior of
 its host. The prior of a host is smoothed towards that of its suffix, which is smoothed towards the whole
 table's; all of these, and how far declarations can be trusted, are counts over all rows by the language
-that the text alone suggests, gathered by grouped aggregation.
+that the text alone suggests, gathered by grouped aggregation. The text model is fitted on a bounded sample of rows
+by their declared language; where the same column is also the declaration, it is evidence twice, once through the
+words of its language and once by itself, and how far it agrees with the texts is counted and not presumed.
 
 A row is rejected if its text is unlike the language that suits it best (its likelihood a trigram is far below that
 of the sample's texts, or hardly above that of trigrams that the language never has), or has no trigram of letters at all, or if no language has half of the probability.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import kernel, store
+from graphloom.llm import kernel, skew, store
 
 BUCKETS = 1 << 15
 #: Texts with a known language that the model is fitted on, at most; each language's share are those of the least hashed ids.
@@ -167,29 +169,32 @@ def text_evidence(df: DataFrame, model: TextModel, text: Column, carry: dict[str
     return rows.mapInArrow(_text_evidence(model), f"{ddl}, _log array<double>, _text_language string, _like boolean")
 
 
-def priors(evidence: DataFrame, languages: list[str]) -> tuple[DataFrame, dict[str | None, list[float]]]:
-    """Log priors by host, as a table, and log likelihoods of each declaration, from counts over all rows.
+def priors(evidence: DataFrame, languages: list[str]) -> tuple[DataFrame, DataFrame, dict[str | None, list[float]], list[float]]:
+    """Counts by host; log priors by host and suffix; log likelihoods of each declaration; the table's log prior.
 
     A host's counts are first summed over its rows where they lie, so a host with a third of them is no burden.
     """
     names = [F.lit(x) for x in languages]
-    seen = evidence.filter("_text_language is not null and _like")
-    counts = seen.groupBy("_host", "_suffix").agg(*[F.sum((F.col("_text_language") == x).cast("double")).alias(f"h{k}") for k, x in enumerate(names)])
-    suffixes = counts.groupBy("_suffix").agg(*[F.sum(f"h{k}").alias(f"s{k}") for k in range(len(names))])
-    total = suffixes.agg(*[F.sum(f"s{k}").alias(f"t{k}") for k in range(len(names))]).first()
+    fits = F.col("_text_language").isNotNull() & F.col("_like")
+    own = [F.sum(F.when(fits & (F.col("_text_language") == x), 1.0).otherwise(0.0)).alias(f"h{k}") for k, x in enumerate(names)]
+    counts = store.written(evidence.groupBy("_host", "_suffix", "_declared").agg(F.count("*").alias("n"), *own), "language-counts")
+    sums = lambda p, q: [F.sum(f"{p}{k}").alias(f"{q}{k}") for k in range(len(names))]
+    hosts = store.written(counts.groupBy("_host", "_suffix").agg(F.sum("n").alias("n"), *sums("h", "h")), "host-counts")
+    suffixes = hosts.groupBy("_suffix").agg(*sums("h", "s"))
+    total = suffixes.agg(*sums("s", "t")).first()
     whole = np.array([x or 0.0 for x in total]) + 1
     whole /= whole.sum()
     sum_of = lambda p: sum((F.col(f"{p}{k}") for k in range(1, len(names))), F.col(f"{p}0"))
     smooth = suffixes.select("_suffix", *[((F.col(f"s{k}") + SUFFIX_WEIGHT * float(whole[k])) / (sum_of("s") + SUFFIX_WEIGHT)).alias(f"p{k}") for k in range(len(names))])
-    hosts = counts.join(smooth.withColumnRenamed("_suffix", "_suffix2"), F.col("_suffix").eqNullSafe(F.col("_suffix2")))
-    hosts = hosts.select("_host", "_suffix", F.array(*[F.log((F.col(f"h{k}") + HOST_WEIGHT * F.col(f"p{k}")) / (sum_of("h") + HOST_WEIGHT)) for k in range(len(names))]).alias("_prior"))
+    near = hosts.join(smooth.withColumnRenamed("_suffix", "_suffix2"), F.col("_suffix").eqNullSafe(F.col("_suffix2")))
+    prior = F.array(*[F.log((F.col(f"h{k}") + HOST_WEIGHT * F.col(f"p{k}")) / (sum_of("h") + HOST_WEIGHT)) for k in range(len(names))]).alias("_prior")
     # Declarations are folded into the known languages, "other" and none, so the table has a fixed size.
-    said = seen.groupBy("_declared").agg(*[F.sum((F.col("_text_language") == x).cast("double")).alias(f"d{k}") for k, x in enumerate(names)]).collect()
+    said = counts.groupBy("_declared").agg(*sums("h", "d")).collect()
     found = {r._declared: np.array(r[1:]) for r in said}
     by_language = sum((v for d, v in found.items() if d is not None), np.zeros(len(names)))
     kinds = [*languages, "other"]
     declared = {d: np.log((found.get(d, 0) + DECLARED_WEIGHT / len(kinds)) / (by_language + DECLARED_WEIGHT)).tolist() for d in kinds}
-    return hosts, declared | {None: [0.0] * len(names)}, np.log(whole).tolist()
+    return hosts, store.written(near.select("_host", "_suffix", prior), "host-priors"), declared | {None: [0.0] * len(names)}, np.log(whole).tolist()
 
 
 def folded(declared: Column, languages: list[str]) -> Column:
@@ -206,17 +211,18 @@ def suffix_of(host: Column) -> Column:
 def identify(df: DataFrame, model: TextModel, text: Column, host: Column, declared: Column, carry: dict[str, Column]) -> DataFrame:
     """``carry`` with language, confidence, text_language, declared_language and kept, for each row of ``df``.
 
-    Null and empty texts are rejected, with the language that the other evidence suggests; null hosts are one
-    host; a null declaration is no evidence. Repeated rows are kept; an empty table gives no rows.
-    Texts are read twice: once to count priors, once for the verdicts, so no text is ever shuffled.
+    Null and empty texts are rejected, with the language that the other evidence suggests; null and empty
+    hosts are one host; a null declaration is no evidence. Repeated rows are kept; an empty table gives no rows; names in
+    ``carry`` must not begin with an underscore and a known one of this module, other columns don't matter. Every
+    text is read and scored once; what was found is written beside ``carry`` and read for the verdicts. Rows
+    only meet the table of hosts, and those of a host with very many are dealt over many tasks.
     """
     names = model.languages
-    own = {"_host": host.cast("string"), "_suffix": suffix_of(host.cast("string")), "_declared": folded(declared.cast("string"), names)}
-    hosts, declarations, whole = priors(text_evidence(df, model, text, own), names)
-    hosts = store.written(hosts, "host-priors")  # now its size is known: if it is small, no text is shuffled
-    rows = text_evidence(df, model, text, {**carry, **own})
-    hosts = hosts.withColumnsRenamed({"_host": "_host2", "_suffix": "_suffix2"})
-    rows = rows.join(hosts, F.col("_host").eqNullSafe(F.col("_host2")) & F.col("_suffix").eqNullSafe(F.col("_suffix2")), "left")
+    own = {"_host": F.coalesce(host.cast("string"), F.lit("")), "_suffix": suffix_of(F.coalesce(host.cast("string"), F.lit(""))), "_declared": folded(declared.cast("string"), names)}
+    found = text_evidence(df, model, text, {**carry, **own}).withColumn("_row", F.monotonically_increasing_id())
+    rows = store.written(found, "language-evidence")
+    counts, hosts, declarations, whole = priors(rows, names)
+    rows = skew.join(rows, hosts, ["_host", "_suffix"], skew.heavy_of(counts, rows.count()), ["_row"], "left")
     prior = F.coalesce("_prior", F.array(*map(F.lit, whole)))
     said = F.lit(None).cast("array<double>")
     for d, v in declarations.items():
