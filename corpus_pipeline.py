@@ -15,7 +15,11 @@ from graphloom.session import ready
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is settled stay: text, declared language and the source's prior together."""
+    """Documents whose language is settled stay: text, declared language and the source's prior together.
+
+    Null, empty and letterless texts go, as no text speaks for a language; equal rows fare alike; rows without an id
+    are judged like others, but aren't in the model's sample. An empty table gives no rows.
+    """
     ready(spark)
     model = language.fit_text_model(docs)
     carry = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
@@ -24,7 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common blocks go from the later text; documents that lose all their words go with them."""
+    """Common blocks go from the later text; documents that lose all their words go with them.
+
+    Equal rows lose the same lines; rows without an id, null, empty and blank texts stay as they are. An empty table
+    gives no rows.
+    """
     ready(spark)
     rows = line_dedup.dedup(docs)
     left = rows.filter((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -32,25 +40,40 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the least id stays, once."""
+    """Of each group of near duplicates (five words, 0.8) the document with the least id stays, once.
+
+    Equal rows are one document. Different texts of one id are documents of their own, which come before the others
+    of their groups; rows without an id stay, as do null, empty and blank texts. An empty table gives no rows.
+    """
     ready(spark)
-    found = store.written(ngram_join.jaccard_components(docs), "near-duplicates")
-    gone = found.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    often = found.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
-    if not often.isEmpty():
-        kept = kept.join(often, "doc_id", "left_anti").unionByName(kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    text = F.xxhash64("text")
+    repeats = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(text) != F.max(text)).alias("differ")).filter("n > 1")
+    repeats = store.written(repeats.select("doc_id", "differ"), "repeated-ids")
+    if repeats.isEmpty():
+        found = store.written(ngram_join.jaccard_components(docs), "near-duplicates")
+        gone = found.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    own = -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    known = docs.join(repeats.withColumnRenamed("differ", "__gl_differ"), "doc_id", "left")
+    known = store.written(known.withColumn("__gl_node", F.when(F.col("__gl_differ"), own).otherwise(F.col("doc_id"))), "numbered")
+    found = store.written(ngram_join.jaccard_components(known, "__gl_node"), "near-duplicates")
+    gone = found.filter("component_id <> id").select(F.col("id").alias("__gl_node")).distinct()
+    kept = known.join(gone.hint("merge"), "__gl_node", "left_anti")
+    once = kept.filter("__gl_differ is not null").dropDuplicates(["__gl_node"])
+    return kept.filter("__gl_differ is null").unionByName(once).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; all documents stay."""
+    """Secrets are replaced in the text; all documents stay, null and empty texts and equal rows too."""
     ready(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: a row for each piece of a document with its place."""
+    """Token sequences of at most 2048 ids: a row for each piece of a document with its place.
+
+    A null or empty text is one piece of the end id; equal rows are packed each; an empty table gives no rows.
+    """
     ready(spark)
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 0))
 
