@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,19 +74,45 @@ def content_digest(df: DataFrame, *columns: str) -> str:
 
 
 class Generations:
-    """Versions of a table in one folder; readers follow a pointer file that is put in place last."""
+    """Versions of a table in one folder. Every version has a pointer file of its own number, made only if it isn't
+    there; readers follow the greatest. So of two writers of one version one fails, and a crash leaves the one before.
+
+    A write may be split: staged rows have a journal entry, from which a later process commits or abandons them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> dict | None:
-        place = f"{self.folder}/{name}"
-        return json.loads(self.spark.read.text(place, wholetext=True).first()[0]) if self._fs.exists(self._path(place)) else None
+    def _names(self, prefix: str) -> list[str]:
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        return sorted(n for s in self._fs.listStatus(self._path(self.folder)) if (n := s.getPath().getName()).startswith(prefix))
+
+    def _read(self, name: str) -> dict | None:
+        try:
+            return json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0])
+        except (ValueError, TypeError):
+            return None  # a writer was cut off within the file
+
+    def _create(self, name: str, body: dict) -> bool:
+        """Makes a file that must not be there."""
+        try:
+            out = self._fs.create(self._path(f"{self.folder}/{name}"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass().getName()) or self._fs.exists(self._path(f"{self.folder}/{name}")):
+                return False
+            raise
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+        return True
 
     def current(self) -> dict | None:
-        return self._pointer("CURRENT.json")
+        for name in reversed(self._names("CURRENT-")):
+            if body := self._read(name):
+                return body
+        return None
 
     def read(self) -> DataFrame:
         now = self.current()
@@ -93,34 +120,76 @@ class Generations:
             raise FileNotFoundError(self.folder)
         return self.spark.read.parquet(f"{self.folder}/{now['folder']}")
 
+    def stage(self, df: DataFrame, *columns: str) -> dict:
+        """Writes the rows of a next version and a journal entry; nothing that readers see."""
+        now = self.current()
+        version = (now or {"version": 0})["version"] + 1
+        folder = f"gen-{version:08d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.folder}/{folder}")
+        entry = {"version": version, "folder": folder, "digest": content_digest(self.spark.read.parquet(f"{self.folder}/{folder}"), *columns), "base": (now or {}).get("digest")}
+        self._create(f"PENDING-{folder}.json", entry)
+        return entry
+
+    def commit(self, entry: dict) -> str:
+        """Makes a staged version the current one: published, or stale if another came first. Doing it again is harmless."""
+        now = self.current()
+        if now and now["folder"] == entry["folder"]:
+            return "published"
+        if (now or {"version": 0})["version"] != entry["version"] - 1:
+            return "stale"
+        name, version = f"CURRENT-{entry['version']:08d}.json", entry["version"]
+        if not self._create(name, {"version": version, "folder": entry["folder"], "digest": entry["digest"]}):
+            if self._read(name) is not None:
+                return "stale"
+            self._fs.delete(self._path(f"{self.folder}/{name}"), False)  # left half written by a crash
+            return self.commit(entry)
+        return "published"
+
     def publish(self, df: DataFrame, *columns: str, expected: str | None = None) -> str:
         """Publishes ``df`` as the next version: published, no_change if its digest is the current one, or stale if the current isn't ``expected``."""
         now = self.current()
         if expected is not None and (now or {}).get("digest") != expected:
             return "stale"
-        own = content_digest(df, *columns)
-        if now and now["digest"] == own:
+        if now and now["digest"] == content_digest(df, *columns):
             return "no_change"
-        version = (now or {"version": 0})["version"] + 1
-        folder = f"gen-{version:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.folder}/{folder}")
-        draft = self._path(f"{self.folder}/.draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": version, "folder": folder, "digest": own}).encode()))
-        out.close()
-        target = self._path(f"{self.folder}/CURRENT.json")
-        self._fs.delete(target, False)
-        if not self._fs.rename(draft, target):
-            raise OSError("the pointer could not be put in place")
-        return "published"
+        entry = self.stage(df, *columns)
+        outcome = self.commit(entry) if expected is None or entry["base"] == expected else "stale"
+        if outcome == "published":
+            self.finalize(entry)
+        else:
+            self.abandon(entry)
+        return outcome
+
+    def discover(self) -> list[dict]:
+        """Journal entries of staged versions that were neither finalized nor abandoned."""
+        return [e for n in self._names("PENDING-") if (e := self._read(n))]
+
+    def finalize(self, entry: dict) -> None:
+        """Forgets the journal entry of a committed version."""
+        if not any((p := self._read(n)) and p["folder"] == entry["folder"] for n in self._names("CURRENT-")):
+            raise ValueError("the version isn't committed")
+        self._fs.delete(self._path(f"{self.folder}/PENDING-{entry['folder']}.json"), False)
+
+    def abandon(self, entry: dict) -> None:
+        """Removes a staged version and its entry; one that readers see can't be abandoned."""
+        if any((p := self._read(n)) and p["folder"] == entry["folder"] for n in self._names("CURRENT-")):
+            raise ValueError("the version is committed")
+        self._fs.delete(self._path(f"{self.folder}/{entry['folder']}"), True)
+        self._fs.delete(self._path(f"{self.folder}/PENDING-{entry['folder']}.json"), False)
 
     def recover(self) -> list[str]:
-        """Removes versions that no pointer ever named, left by runs that were cut off; returns their folders."""
-        now = self.current()
+        """Finishes or abandons what runs that were cut off left: committed entries are finalized, others abandoned, and
+        folders that no entry and no pointer names are removed; returns the folders that went."""
         gone = []
-        for s in self._fs.listStatus(self._path(self.folder)):
-            name = s.getPath().getName()
-            if name.startswith(".draft-") or (name.startswith("gen-") and (not now or int(name[4:12]) > now["version"] or (int(name[4:12]) == now["version"] and name != now["folder"]))):
-                self._fs.delete(s.getPath(), True)
+        shown = {p["folder"] for n in self._names("CURRENT-") if (p := self._read(n))}
+        for entry in self.discover():
+            if entry["folder"] in shown:
+                self.finalize(entry)
+            else:
+                self.abandon(entry)
+                gone.append(entry["folder"])
+        for name in self._names("gen-"):
+            if name not in shown:
+                self._fs.delete(self._path(f"{self.folder}/{name}"), True)
                 gone.append(name)
         return sorted(gone)

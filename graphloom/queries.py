@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import text
+from graphloom.functions import text, values
 from graphloom.operators import changes, graph, inventory, resolution, search, selection, sinks
 from graphloom.plans import catalog
+from graphloom.plans.settle import shared_folder
 from graphloom.plans.catalog import EDGES_SQL, EXTERNALS_SQL, FACTS_SQL, OBJECTS_SQL, SEARCH_SQL, table
 from graphloom.streaming import coalesce
 
@@ -77,8 +78,8 @@ def ambiguous_candidates(spark, sf_dir):
 @query("""
 SELECT ref, state, array_to_string(sources, ',') AS sources FROM (
   SELECT ref, CASE WHEN len(g) > 0 AND len(p) > 0 THEN CASE WHEN len(list_intersect(g, p)) > 0 THEN 'Candidates' ELSE 'Invalid' END
-    WHEN len(g) > 0 THEN 'Candidates' WHEN len(p) > 0 AND len(list_filter(p, lambda x: x <> 's3')) = 0 THEN 'Invalid' ELSE 'Candidates' END AS state,
-    list_sort(CASE WHEN len(g) > 0 AND len(p) > 0 THEN list_intersect(g, p) WHEN len(g) > 0 THEN g ELSE list_filter(p, lambda x: x <> 's3') END) AS sources
+    WHEN len(g) > 0 THEN 'Candidates' WHEN len(p) > 0 AND len(list_filter(p, lambda x: x <> 's3' OR ref % 5 = 1)) = 0 THEN 'Invalid' ELSE 'Candidates' END AS state,
+    list_sort(CASE WHEN len(g) > 0 AND len(p) > 0 THEN list_intersect(g, p) WHEN len(g) > 0 THEN g ELSE list_filter(p, lambda x: x <> 's3' OR ref % 5 = 1) END) AS sources
   FROM (SELECT n_nationkey AS ref,
     CASE WHEN n_nationkey % 3 = 0 THEN ['s1', 's2'] WHEN n_nationkey % 3 = 1 THEN ['s4'] ELSE [] END AS g,
     CASE WHEN n_nationkey % 4 = 0 THEN ['s2', 's3'] WHEN n_nationkey % 4 = 1 THEN ['s3'] WHEN n_nationkey % 4 = 2 THEN ['s4', 's5'] ELSE [] END AS p FROM nation))""")
@@ -87,7 +88,7 @@ def reconcile_guid_path(spark, sf_dir):
     arr = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
     g = F.when(n % 3 == 0, arr("s1", "s2")).when(n % 3 == 1, arr("s4")).otherwise(arr())
     p = F.when(n % 4 == 0, arr("s2", "s3")).when(n % 4 == 1, arr("s3")).when(n % 4 == 2, arr("s4", "s5")).otherwise(arr())
-    out = table(spark, sf_dir, "nation").select(n.alias("ref"), resolution.reconcile(g, p, arr("s3"), F.lit(True)).alias("r"))
+    out = table(spark, sf_dir, "nation").select(n.alias("ref"), resolution.reconcile(g, p, arr("s3"), n % 5 != 1).alias("r"))
     return out.select("ref", "r.state", F.array_join("r.sources", ",").alias("sources"))
 
 
@@ -206,7 +207,7 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
 SELECT min('customer:' || CAST(b AS VARCHAR)) AS component, 'customer:' || CAST(a AS VARCHAR) AS address FROM m GROUP BY a""")
 def cycles(spark, sf_dir):
-    return graph.cycles(catalog.edges(spark, sf_dir).filter("src like 'customer:%'"))
+    return graph.cycles(catalog.edges(spark, sf_dir))
 
 
 @query("""SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS address, r_name || '/' || n_name || '/' || c_name AS path, false AS cyclic FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -308,12 +309,14 @@ def stop_in_plan_order(spark, sf_dir):
 # --- sources and values -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT page_id, CASE WHEN starts_with(html, '%YAML') OR starts_with(html, '--- !u!') THEN 'Yaml' WHEN starts_with(html, '<!DOCTYPE') THEN 'Unknown' ELSE 'Unknown' END AS kind FROM pages""")
+@query("SELECT page_id, (['Yaml', 'AssetBundle', 'Archive', 'WebFile', 'Unknown'])[CAST(page_id % 5 + 1 AS INTEGER)] AS kind FROM pages")
 def source_recognition(spark, sf_dir):
     from graphloom.sources import recognition
 
+    begins = F.array(*[F.lit(bytearray(x)) for x in (b"%YAML 1.1\n", b"UnityFS\0", b"PK\x03\x04", b"UnityWebData1.0\0", b"")])
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", recognition.recognize(F.parse_url("url", F.lit("PATH")), F.col("html").cast("binary")).alias("kind"))
+    content = F.concat(begins[(F.col("page_id") % 5).cast("int")], F.encode("html", "utf-8"))
+    return pages.select("page_id", recognition.recognize(F.parse_url("url", F.lit("PATH")), content).alias("kind"))
 
 
 @query("SELECT o_orderstatus, count(*) FILTER (path_id < 0) AS negative, count(*) FILTER (path_id > 0) AS positive, min(path_id) AS least, max(path_id) AS greatest FROM (SELECT o_orderstatus, o_custkey - 500 AS path_id FROM orders) GROUP BY o_orderstatus")
@@ -328,11 +331,14 @@ def compression_stats(spark, sf_dir):
     return sinks.compression_stats(table(spark, sf_dir, "lineitem").select("l_returnflag", n.alias("compressed"), (n * (2 + F.col("l_linenumber") % 3)).alias("raw")), "l_returnflag")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'MissingField' ELSE 'ok' END AS outcome, 'MissingField' AS other FROM events")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'ExpectedObject' WHEN 2 THEN 'ExpectedArray' WHEN 3 THEN 'MissingField' ELSE 'ok' END AS outcome,
+  CASE event_id % 5 WHEN 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) WHEN 4 THEN '7' END AS found FROM events""")
 def value_at_path(spark, sf_dir):
-    v = F.parse_json("props")
-    state = lambda p: F.when(F.try_variant_get(v, p, "variant").isNull(), "MissingField").otherwise("ok")
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), state("$.k").alias("outcome"), state("$.x[2]").alias("other"))
+    e = table(spark, sf_dir, "events")
+    wrapped = F.concat(F.lit('{"v": '), "props", F.lit(', "xs": [5, {"y": 7}]}'))
+    paths = ["v.k", "v.k.z", "v.k[0]", "v.z", "xs[1].y"]
+    at = F.array(*[values.value_at(wrapped, p) for p in paths])[F.pmod("event_id", F.lit(5)).cast("int")]
+    return e.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), at["state"].alias("outcome"), at["value"].alias("found"))
 
 
 @query("""SELECT k, v, CASE WHEN v IN ('', '~', 'null', 'Null', 'NULL') THEN 'null' WHEN v IN ('true', 'True', 'TRUE', 'false', 'False', 'FALSE') THEN 'bool'
@@ -439,9 +445,9 @@ def postings(spark, sf_dir):
     return search.postings(search_table(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('t:Prefab'), ('in:Assets/ECONOMY/'), ('in:Assets/PROMO/'), ('in:Assets/STANDARD/')) AS t(suggestion) WHERE false")
-def suggest_nothing(spark, sf_dir):
-    return search.suggest_paths(catalog.search_documents(spark, sf_dir), "Nowhere/", 50)
+@query(f"SELECT DISTINCT 'in:Assets/ECONOMY/' || split_part(path, '/', 3) || '/' AS suggestion FROM ({SEARCH_SQL}) WHERE starts_with(path, 'Assets/ECONOMY/Brand_1') ORDER BY suggestion LIMIT 7")
+def suggest_nested(spark, sf_dir):
+    return search.suggest_paths(catalog.search_documents(spark, sf_dir), "Assets/ECONOMY/Brand_1", 7)
 
 
 @query("SELECT * FROM (VALUES ('t:Asset'), ('t:AnimationClip'), ('t:AnimatorController'), ('t:Audio')) AS t(suggestion)")
@@ -568,19 +574,12 @@ def reindex_incremental(spark, sf_dir):
 def generation_nochange(spark, sf_dir):
     import uuid
 
-    place = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    versions = changes.Generations(spark, f"{place.rstrip('/')}/generations-{uuid.uuid4().hex}")
+    versions = changes.Generations(spark, f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     outcomes = [versions.publish(p, *p.columns), versions.publish(p.orderBy("p_name"), *p.columns), versions.publish(p.filter("p_size > 5"), *p.columns), versions.publish(p, *p.columns, expected="other")]
     return versions.read().agg(F.lit(",".join(outcomes)).alias("outcomes"), F.count("*").alias("rows"))
 
 
-def _own_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="graphloom-")
-
-
 @query("SELECT c_custkey, array_to_string(v, ',') AS edited FROM (SELECT c_custkey, [c_nationkey, 100, CAST(c_custkey % 7 AS INTEGER)] AS v FROM customer)")
 def sequence_edits(spark, sf_dir):
     items = F.array(F.col("c_nationkey"), (F.col("c_custkey") % 7).cast("int"), F.lit(9))
@@ -711,3 +710,6 @@ def recipe_retarget(spark, sf_dir):
 @query("SELECT p_partkey, CAST(list_sum(list_transform(range(0, 1 + p_partkey % 8), lambda i: greatest(p_size * 8 // CAST(pow(2, i) AS BIGINT), 1) * greatest(64 // CAST(pow(2, i) AS BIGINT), 1) * 4)) AS BIGINT) AS bytes FROM part")
 def mip_bytes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", inventory.mip_bytes(F.col("p_size") * 8, F.lit(64), (1 + F.col("p_partkey") % 8).cast("int"), 4).alias("bytes"))
+
+
+from graphloom import queries_index  # noqa: E402, F401  registers more queries

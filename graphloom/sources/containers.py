@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.sources.scenes import files
 
@@ -277,6 +278,66 @@ def read_value(c: Cursor, node: Node, wanted: set[str] | None = None):
     return out
 
 
+def skip_value(c: Cursor, node: Node) -> None:
+    """Moves past a value without making it; arrays of numbers and texts are one step."""
+    aligned = bool(node.flags & 0x4000)
+    if node.kind in NUMBERS:
+        c.take(struct.calcsize("<" + NUMBERS[node.kind]))
+    elif node.kind in ("string", "TypelessData"):
+        c.take(c.count())
+        aligned = aligned or any(x.flags & 0x4000 for x in node.children)
+    elif node.children and node.children[0].kind == "Array" or node.kind == "Array":
+        array = node if node.kind == "Array" else node.children[0]
+        element, n = array.children[1], c.count()
+        if element.kind in NUMBERS and not element.flags & 0x4000:
+            c.take(n * struct.calcsize("<" + NUMBERS[element.kind]))
+        else:
+            for _ in range(n):
+                skip_value(c, element)
+        aligned = aligned or bool(array.flags & 0x4000)
+    else:
+        for x in node.children:
+            skip_value(c, x)
+    if aligned:
+        c.align()
+
+
+def same_value(a: Cursor, b: Cursor, node: Node) -> bool:
+    """Whether two values of one type are the same, bit by bit, without making either; padding doesn't count.
+
+    Both cursors are moved past their values only if these are the same.
+    """
+    aligned = bool(node.flags & 0x4000)
+    if node.kind in NUMBERS:
+        n = struct.calcsize("<" + NUMBERS[node.kind])
+        same = a.take(n) == b.take(n)
+    elif node.kind in ("string", "TypelessData"):
+        same = a.take(a.count()) == b.take(b.count())
+        aligned = aligned or any(x.flags & 0x4000 for x in node.children)
+    elif node.children and node.children[0].kind == "Array" or node.kind == "Array":
+        array = node if node.kind == "Array" else node.children[0]
+        n = a.count()
+        same = n == b.count() and all(same_value(a, b, array.children[1]) for _ in range(n))
+        aligned = aligned or bool(array.flags & 0x4000)
+    else:
+        same = all(same_value(a, b, x) for x in node.children)
+    if same and aligned:
+        a.align()
+        b.align()
+    return same
+
+
+def traversal_stats(node: Node) -> tuple[int, int, Counter]:
+    """Nodes, levels and kinds of a type tree."""
+    n, depth, kinds, todo = 0, 0, Counter(), [node]
+    while todo:
+        x = todo.pop()
+        n, depth = n + 1, max(depth, x.level + 1)
+        kinds[x.kind] += 1
+        todo += x.children
+    return n, depth, kinds
+
+
 def pointers(value, path: str = "") -> Iterator[tuple[str, int, int]]:
     """(field path, file id, path id) of each pointer in a value."""
     if isinstance(value, dict):
@@ -311,8 +372,11 @@ def decompress(data: bytes, size: int, method: int) -> bytes:
     return out
 
 
-def bundle(data: bytes) -> tuple[dict, list[tuple[int, int, int]], list[tuple[str, int, int]], bytes | None]:
-    """Header, blocks (raw, stored, flags), members (name, start, size), and the payload of a bundle."""
+def bundle(data: bytes, read: bool = True) -> tuple[dict, list[tuple[int, int, int]], list[tuple[str, int, int]], bytes | None]:
+    """Header, blocks (raw, stored, flags), members (name, start, size), and the payload of a bundle.
+
+    Without ``read`` the blocks of a bundle with a directory of its own aren't unpacked, and there is no payload.
+    """
     c = Cursor(data)
     head = {"signature": c.text(), "version": c.num("I"), "player": c.text(), "engine": c.text()}
     if head["signature"] == "UnityFS" or head["version"] >= 6:
@@ -339,6 +403,8 @@ def bundle(data: bytes) -> tuple[dict, list[tuple[int, int, int]], list[tuple[st
             members.append((i.text(), start, size))
         if sum(b[0] for b in blocks) > MAX_BYTES:
             raise ValueError("too many bytes in a bundle")
+        if not read:
+            return head, blocks, members, None
         payload = b"".join(decompress(c.take(b[1]), b[0], b[2] & 0x3F) for b in blocks)
         return head, blocks, members, payload
     if head["version"] >= 4:
@@ -359,6 +425,15 @@ def bundle(data: bytes) -> tuple[dict, list[tuple[int, int, int]], list[tuple[st
     return head, [(raw, stored, 0)], members, payload
 
 
+def unzipped(data: bytes) -> bytes:
+    """The bytes of a gzip file, read up to the limit only."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        out = f.read(MAX_BYTES + 1)
+    if len(out) > MAX_BYTES:
+        raise ValueError("too many bytes in a web file")
+    return out
+
+
 def web_file(data: bytes) -> list[tuple[str, int, int]]:
     """Members of a web file whose bytes are ``data``."""
     c = Cursor(data, "<")
@@ -374,7 +449,7 @@ def web_file(data: bytes) -> list[tuple[str, int, int]]:
 def sniff(data: bytes) -> str:
     if data[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"):
         return "Archive"
-    if data[:2] == b"\x1f\x8b" or data.startswith((b"UnityWebData", b"TuanjieWebData")):
+    if data[:2] == b"\x1f\x8b" or data[32:38] == b"brotli" or data.startswith((b"UnityWebData", b"TuanjieWebData")):
         return "WebFile"
     if len(data) >= 8 and (data.startswith((b"UnityFS\0", b"UnityRaw", b"UnityWeb"))):
         return "AssetBundle"
@@ -400,7 +475,12 @@ def members(data: bytes) -> tuple[str, list[tuple[str, bytes]]]:
             return kind, [(x.filename, z.read(x)) for x in own]
     if kind == "WebFile":
         if data[:2] == b"\x1f\x8b":
-            data = gzip.decompress(data)
+            data = unzipped(data)
+        elif data[32:38] == b"brotli":
+            with pa.input_stream(pa.BufferReader(data), compression="brotli") as f:
+                data = f.read(MAX_BYTES + 1)
+            if len(data) > MAX_BYTES:
+                raise ValueError("too many bytes in a web file")
         return kind, [(n, data[a : a + s]) for n, a, s in web_file(data)]
     if kind == "AssetBundle":
         _, _, own, payload = bundle(data)
@@ -422,9 +502,13 @@ def walk(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, int
             n = seen[name]
             seen[name] += 1
             yield from walk(part, f"{path}/{name}" + (f"#{n}" if n else ""), depth + 1)
+    elif own:  # deeper members are named, and why they weren't opened
+        for n, (name, part) in enumerate(own):
+            yield f"{path}/{name}#{n}", depth + 1, sniff(part[:64]), part, f"deeper than {MAX_DEPTH} levels"
 
 
 MEMBERS_DDL = "source string, member string, depth int, kind string, bytes long, error string"
+LISTED_DDL = "source string, member string, start long, bytes long, signature string, blocks int, raw long, stored long"
 OBJECTS_DDL = "source string, member string, engine string, format int, path_id long, class_id int, start long, bytes long, name string"
 POINTERS_DDL = "source string, member string, owner long, field_path string, file_id int, path_id long, external_guid string, external_path string"
 
@@ -462,6 +546,15 @@ def _value(part: bytes, s: Serialized, row: tuple, wanted: set[str] | None = Non
         return None
 
 
+def _listed(batches):
+    def rows(data: bytes):
+        head, blocks, own, _ = bundle(data, read=False)
+        for name, start, size in own:
+            yield name, start, size, head["signature"], len(blocks), sum(b[0] for b in blocks), sum(b[1] for b in blocks)
+
+    yield from _each(batches, LISTED_DDL, lambda data: rows(data) if sniff(data) == "AssetBundle" else ())
+
+
 def _objects(batches):
     def rows(data: bytes):
         for path, part, s in _serialized_members(data):
@@ -489,6 +582,12 @@ def scan_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files(spark, path, pattern).mapInArrow(_members, MEMBERS_DDL)
 
 
+def list_bundles(spark: SparkSession, path: str, pattern: str = "*", contains: str = "") -> DataFrame:
+    """The members of every bundle, by its directory alone, with those whose name holds a text; payloads aren't unpacked."""
+    listed = files(spark, path, pattern).mapInArrow(_listed, LISTED_DDL)
+    return listed.filter(F.contains(F.lower("member"), F.lit(contains.lower()))) if contains else listed
+
+
 def scan_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """One row an object of every serialized file, with its name where the type is known; values aren't read beyond it."""
     return files(spark, path, pattern).mapInArrow(_objects, OBJECTS_DDL)
