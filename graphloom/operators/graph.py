@@ -310,23 +310,20 @@ def least_cycles(components: DataFrame, most: int) -> tuple[DataFrame, bool]:
 def lineages(parents: DataFrame, names: DataFrame, max_depth: int = 128) -> DataFrame:
     """(address, path, cyclic): names from the top to each node, joined by slashes, one parent a node.
 
-    A chain that meets itself or goes deeper than ``max_depth`` is cyclic and has no path.
+    A chain that meets itself or goes deeper than ``max_depth`` is cyclic and has no path. Every round joins each
+    node's chain with that of the node above it, so chains double in length and rounds follow the logarithm of the depth.
     """
-    up = parents.select("address", "parent")
-    walk = names.select("address", F.col("name").alias("path"), F.col("address").alias("top"), F.array("address").alias("seen"))
-    done = None
-    for depth in range(max_depth):
-        step = walk.join(up.withColumnsRenamed({"address": "top", "parent": "above"}), "top", "left")
-        ended = step.filter("above is null").select("address", "path", F.lit(False).alias("cyclic"))
-        looped = step.filter(F.array_contains("seen", F.col("above"))).select("address", F.lit(None).cast("string").alias("path"), F.lit(True).alias("cyclic"))
-        part = ended.unionByName(looped)
-        done = part if done is None else done.unionByName(part)
-        going = step.filter(F.col("above").isNotNull() & ~F.array_contains("seen", F.col("above")))
-        named = going.join(names.select(F.col("address").alias("above"), F.col("name").alias("above_name")), "above", "left")
-        walk = settled(named.select("address", F.concat_ws("/", "above_name", "path").alias("path"), F.col("above").alias("top"), F.concat("seen", F.array("above")).alias("seen")))
-        if walk.isEmpty():
-            return done
-    return done.unionByName(walk.select("address", F.lit(None).cast("string").alias("path"), F.lit(True).alias("cyclic")))
+    nodes = names.select("address").union(parents.select("address")).union(parents.select(F.col("parent").alias("address"))).filter("address is not null").distinct()
+    named = nodes.join(names.select("address", F.col("name").alias("path")), "address", "left")
+    state = settled(named.join(parents.select("address", F.col("parent").alias("top")), "address", "left").withColumn("hops", F.lit(1)))
+    while not state.filter((F.col("top").isNotNull()) & (F.col("hops") <= max_depth)).isEmpty():
+        upper = state.select(F.col("address").alias("top"), F.col("path").alias("_path"), F.col("top").alias("_top"), F.col("hops").alias("_hops"))
+        step = state.join(upper, "top", "left").withColumn("_far", F.col("hops") + F.coalesce("_hops", F.lit(0)))
+        over = (F.col("_far") > max_depth) | (F.col("hops") > max_depth)
+        # a chain that is too long keeps its top, so that it shows as one, but no text
+        state = settled(step.select("address", F.when(~over, F.concat_ws("/", "_path", "path")).alias("path"), F.when(over, F.coalesce("_top", "top")).otherwise(F.col("_top")).alias("top"), F.when(over, max_depth + 1).otherwise(F.col("_far")).cast("int").alias("hops")))
+    cyclic = F.col("hops") > max_depth
+    return state.join(names.select("address"), "address", "left_semi").select("address", F.when(~cyclic, F.col("path")).alias("path"), cyclic.alias("cyclic"))
 
 
 def reparent_check(parents: DataFrame, moves: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.settle import settled
+
 
 def json_lines(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     """One typed JSON line a node and fact after a header line: (part, key, line), in the order part, key."""
@@ -27,7 +29,7 @@ def dot_edges(facts: DataFrame) -> DataFrame:
 
 def limited(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, bool]:
     """The first rows by key, and whether there were more."""
-    first = df.orderBy(key).limit(limit + 1)
+    first = settled(df.orderBy(key).limit(limit + 1))  # limit + 1 rows
     return first.orderBy(key).limit(limit), first.count() > limit
 
 

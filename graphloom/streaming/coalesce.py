@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,25 +20,41 @@ QUIET, LONGEST, MAX_PATHS = 75, 750, 4096
 SCOPES = ("changed_paths", "reconcile", "full")
 
 
-def fold(times: Column, quiet: int, longest: int) -> Column:
-    """array<struct<first,last,n>> of ascending event times in ms: one fold over an owner's times."""
-    kind = "struct<out:array<struct<first:bigint,last:bigint,n:int>>,first:bigint,last:bigint,n:int>"
+def _fold(quiet: int, longest: int):
+    """Reads (owner, ms) sorted by both and gives out a batch when it is closed; what is held is one open batch."""
+
+    def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, first, last, n = None, 0, 0, 0
+        kind = None
+        for rb in rows:
+            kind, done = rb.column(0).type, []
+            for own, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                if n and (own != owner or t >= min(last + quiet, first + longest)):
+                    done.append((owner, first, last, n))
+                    n = 0
+                owner, first, last, n = own, (first if n else t), t, n + 1
+            yield _closed(done, kind)
+        if n:
+            yield _closed([(owner, first, last, n)], kind)
+
+    return fold
 
-    def step(acc: Column, t: Column) -> Column:
-        ready = F.least(acc["last"] + quiet, acc["first"] + longest)
-        closed = F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["n"].alias("n"))))
-        fresh = lambda out: F.struct(out.alias("out"), t.alias("first"), t.alias("last"), F.lit(1).alias("n")).cast(kind)
-        going = F.struct(acc["out"].alias("out"), acc["first"].alias("first"), t.alias("last"), (acc["n"] + 1).alias("n")).cast(kind)
-        return F.when(acc["n"] == 0, fresh(acc["out"])).when(t >= ready, fresh(closed)).otherwise(going)
 
-    start = F.from_json(F.lit('{"out":[],"n":0}'), kind)
-    return F.aggregate(times, start, step, lambda acc: F.when(acc["n"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["n"].alias("n"))))))
+def _closed(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=["owner", "first", "last", "n"])
 
 
 def batches(events: DataFrame, owner: str, time_ms: str, quiet: int = QUIET, longest: int = LONGEST) -> DataFrame:
-    """(owner, first, last, n) of every batch of a bounded table of events."""
-    times = events.groupBy(owner).agg(F.array_sort(F.collect_list(F.col(time_ms).cast("long"))).alias("_t"))
-    return times.select(owner, F.explode(fold(F.col("_t"), quiet, longest)).alias("b")).select(owner, "b.first", "b.last", "b.n")
+    """(owner, first, last, n) of every batch of a bounded table of events.
+
+    Where a batch ends depends on where it began, so an owner's events are read in order, by one task that holds one
+    open batch; events without a time are left out.
+    """
+    rows = events.filter(F.col(time_ms).isNotNull()).select(F.col(owner).alias("owner"), F.col(time_ms).cast("long").alias("ms"))
+    kind = rows.schema["owner"].dataType.simpleString()
+    ordered = rows.repartition("owner").sortWithinPartitions("owner", "ms")
+    return ordered.mapInArrow(_fold(quiet, longest), f"owner {kind}, first long, last long, n int").withColumnRenamed("owner", owner)
 
 
 def scope_rank(scope: Column) -> Column:
