@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import build
 from graphloom.plans.settle import settled
 
 
@@ -27,6 +28,24 @@ def dot_edges(facts: DataFrame) -> DataFrame:
     return done.select(F.concat(F.lit('  "'), dot_escape(F.col("src")), F.lit('" -> "'), dot_escape(F.col("target")), F.lit('" [label="'), dot_escape(F.col("field_path")), F.lit('"];')).alias("line"))
 
 
+def write_projection(nodes: DataFrame, facts: DataFrame, form: str, path: str, max_nodes: int | None = None, max_facts: int | None = None) -> dict[str, int]:
+    """Writes a graph as json_lines or dot and returns what was left out. Lines stand in order within and across files.
+
+    dot has resolved edges only; json_lines begins with the header, then come nodes, then facts.
+    """
+    if form not in ("json_lines", "dot"):
+        raise ValueError(form)
+    nodes, facts, left = build(nodes, facts, max_nodes, max_facts)
+    if form == "dot":
+        lines = dot_edges(facts).select(F.lit(1).alias("part"), F.col("line").alias("key"), "line")
+        ends = nodes.sparkSession.createDataFrame([(0, "", "digraph references {"), (2, "", "}")], "part int, key string, line string")
+        lines = ends.unionByName(lines)
+    else:
+        lines = json_lines(nodes, facts)
+    lines.repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("line").write.text(path)
+    return left
+
+
 def limited(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, bool]:
     """The first rows by key, and whether there were more."""
     first = settled(df.orderBy(key).limit(limit + 1))  # limit + 1 rows

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text, values
 from graphloom.media import textures
-from graphloom.operators import admission, extraction, graph, mutation, projection, retrieval, search
+from graphloom.operators import admission, extraction, graph, mutation, projection, retrieval, search, view
 from graphloom.plans import catalog
 from graphloom.plans.catalog import EDGES_SQL, OBJECTS_SQL, SEARCH_SQL, table
 from graphloom.queries import ORACLES, PATH_SQL, STATE_SQL, TERMS_SQL, _reach, _start, query, resolved
-from graphloom.streaming import watch
+from graphloom.streaming import coalesce, watch
 
 
 def framed(*columns: str) -> str:
@@ -369,6 +369,20 @@ def operation_lifecycle(spark, sf_dir):
     return watch.lifecycle(e.select(F.floor(F.col("event_id") / 3).alias("operation"), F.col("event_id").alias("at"), state.alias("state")))
 
 
+@query("SELECT user_id, count(*) FILTER (event_type = 'view') AS startup, count(*) FILTER (event_type = 'click') AS watcher, CAST(0 AS BIGINT) AS periodic, CAST(0 AS BIGINT) AS recovery, count(*) FILTER (event_type = 'purchase') AS client, count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS other FROM events GROUP BY user_id")
+def origin_counts(spark, sf_dir):
+    t = F.col("event_type")
+    e = table(spark, sf_dir, "events").select("user_id", F.when(t == "view", "startup").when(t == "click", "watcher").when(t == "purchase", "client").alias("origin"))
+    return coalesce.origin_counts(e, "user_id")
+
+
+@query("SELECT path, NOT (path LIKE '%/Library/%' OR path LIKE '.%/%') AS fine FROM (SELECT (['Assets/', 'Assets/Library/', '.git/', 'Library.x/'])[CAST(p_partkey % 4 + 1 AS INTEGER)] || p_name || p_partkey AS path FROM part)")
+def discovered_paths(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("Assets/", "Assets/Library/", ".git/", "Library.x/"))), (F.col("p_partkey") % 4 + 1).cast("int")), "p_name", F.col("p_partkey").cast("string"))
+    return p.select(path.alias("path"), view.enterable(path).alias("fine"))
+
+
 # --- scalars ----------------------------------------------------------------------------------------------------
 
 

@@ -78,6 +78,16 @@ def admit(requests: DataFrame, key: str = "idempotency_key", order: str = "event
     return keyed.join(first, [key, order], "left_semi").unionByName(requests.filter(F.col(key).isNull()))
 
 
+#: What a request may come from.
+ORIGINS = ("startup", "watcher", "periodic", "recovery", "client")
+
+
+def origin_counts(requests: DataFrame, by: str) -> DataFrame:
+    """Requests of each origin, a column each; what isn't known counts as other."""
+    known = [F.count_if(F.col("origin") == o).alias(o) for o in ORIGINS]
+    return requests.groupBy(by).agg(*known, F.count_if(~F.coalesce(F.col("origin").isin(*ORIGINS), F.lit(False))).alias("other"))
+
+
 STATE = "first long, last long, n long"
 OUT = "owner string, first long, last long, n long"
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import values
-from graphloom.operators import admission, changes, extraction, graph, mutation, projection, retrieval
+from graphloom.operators import admission, changes, extraction, graph, mutation, projection, retrieval, sinks, view
 from graphloom.service import Service
 from graphloom.streaming import watch
 
@@ -337,3 +337,32 @@ def test_service(spark, found):
     assert call(operation="capabilities", protocol=9)["error"]["code"] == "incompatible_protocol" and len(call(operation="capabilities")["ok"]["operations"]) == 10
     call(operation="shutdown")
     assert call(operation="status")["error"]["code"] == "not_ready"
+
+
+def test_views_and_kept_tables(spark, tmp_path):
+    sources = spark.createDataFrame([("a", "Yaml", "f", 5), ("b", "Yaml", "g", 2), ("b", "Yaml", "g", 2)], admission.SOURCES_DDL)
+    objects = spark.createDataFrame([("a:1", "a", 1, 4, "T", "n")], OBJECTS)
+    v = view.View(sources, objects, contents=spark.createDataFrame([("a", bytearray(b"hello"))], "locator string, content binary"))
+    assert [v.source(x) for x in ("a", "b", "c", "../x")] == ["Resolved", "Ambiguous", "Missing", "Invalid"] and v.source_length("a") == 5 and v.source_length("z") is None
+    assert v.read_range("a", 1, 3) == ("Resolved", b"ell") and v.read_range("a", 3, 3)[0] == "InvalidRange" and v.read_range("q", 0, 1)[0] == "Missing"
+    assert v.object("a:1").count() == 1 and v.objects_of(4).count() == 1 and v.inventory().filter("objects = 0").count() == 2
+    made = []
+    kept = view.Kept(spark, f"file://{tmp_path}/kept")
+    for _ in range(2):
+        df, there = kept.by_content("n", objects, ["address"], lambda d: made.append(1) or d.select("address"))
+    assert made == [1] and there and df.count() == 1
+    (tmp_path / "in" / "Library").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("x")
+    (tmp_path / "in" / "Library" / "b.txt").write_text("x")
+    assert [r.path for r in view.discover(spark, f"{tmp_path}/in").collect()] == ["a.txt"]
+
+
+def test_projections_are_written_in_order(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "address string, class_id int")
+    facts = spark.createDataFrame([("a", "f", "Resolved", "b"), ("a", "f", "Resolved", "b"), ("b", "g", "Missing", None)], "src string, field_path string, state string, target string")
+    assert sinks.write_projection(nodes, facts, "json_lines", f"{tmp_path}/j", max_nodes=2) == {"nodes": 1}
+    text = "".join(p.read_text() for p in sorted((tmp_path / "j").glob("part-*")))
+    assert [json.loads(x)["record"] for x in text.splitlines()] == ["header", "node", "node", "fact", "fact"]
+    sinks.write_projection(nodes, facts, "dot", f"{tmp_path}/d")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
+    assert text.splitlines() == ["digraph references {", '  "a" -> "b" [label="f"];', "}"]
