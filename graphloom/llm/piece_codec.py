@@ -315,12 +315,16 @@ def _decoder(path: str):
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text. Null and empty texts have no ids; repeated rows stay."""
+    """(id, ids array<int>) of every whole text, however long.
+
+    Null and empty texts have no ids; repeated rows stay, and equal texts have equal ids; an empty table gives no
+    rows. Other columns of ``df``, whatever their names, aren't returned.
+    """
     return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_encoder(path), "id long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of every list of ids; a null list is an empty text. An id outside the model fails the task."""
+    """(id, text) of every list of ids; a null list is an empty text; repeated rows stay. An id outside the model fails the task."""
     return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{ids_col}`")).mapInArrow(_decoder(path), "id long, text string")
 
 
@@ -347,5 +351,8 @@ def _digester(path: str):
 
 
 def round_trips(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What ``decode(encode(df))`` gives, as digests, in one pass: (id, n_pieces, ids_crc32, decoded_sha256, round_trip)."""
+    """What ``decode(encode(df))`` gives, as digests, in one pass: (id, n_pieces, ids_crc32, decoded_sha256, round_trip).
+
+    What ``encode`` says of nulls, repeated rows, long texts and other columns holds here, too.
+    """
     return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_digester(path), DIGEST_DDL)

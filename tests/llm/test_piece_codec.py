@@ -71,3 +71,13 @@ def test_operators(odd, table):
     assert {r.id: r.text for r in piece_codec.decode(ids, PATH).collect()} == texts
     assert piece_codec.encode(table([]), PATH).count() == 0
     assert piece_codec.round_trips(table([]), PATH).count() == 0
+
+
+def test_repeated_rows_clashing_names_and_a_long_text(odd, spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = odd.unionByName(odd).withColumnsRenamed({"lang": "ids", "source": "id"})
+    rows = piece_codec.round_trips(df, path).collect()
+    assert len(rows) == 2 * odd.count() and len(set(rows)) == odd.count()
+    long = spark.createDataFrame([(1, "abc déf 漢字 " * 60_000)], "doc_id long, text string")
+    ids = piece_codec.encode(long, path)
+    assert piece_codec.decode(ids, path).first().text == long.first().text.strip() or piece_codec.round_trips(long, path).first().n_pieces > 60_000
