@@ -246,11 +246,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = store.written(members.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared-shingles")
     heavy = skew.heavy_of(shared, known.agg(F.coalesce(F.sum("n_first"), F.lit(0))).first()[0])
     own = F.sort_array(F.collect_list(F.struct("n", "h"))).alias("own")
-    rare = skew.join(members, shared, ["h"], heavy, ["id"]).groupBy("id", "key1", "size", "n_first").agg(own)
+    rare = skew.join(members, shared.select("h", "n"), ["h"], heavy, ["id"]).groupBy("id", "key1", "size", "n_first").agg(own)
     take = F.greatest(F.lit(0), _prefix(F.col("size"), percent) - F.col("n_first") + F.size("own")).cast("int")
-    prefix = rare.select("id", "key1", F.explode(F.slice("own", F.lit(1), take)).alias("m")).select("id", "key1", F.col("m.h").alias("h"))
-    prefix = prefix.union(known.select("id", "key1", F.explode("more").alias("h")))
-    prefix = store.written(prefix.join(copies.select("id", "key1").distinct(), ["id", "key1"], "left_anti").select("id", "h"), "prefixes")
+    # copies are left out while a row is a class, before it becomes a row a member
+    chosen = rare.select("id", "key1", F.transform(F.slice("own", F.lit(1), take), lambda m: m["h"]).alias("hs")).union(known.select("id", "key1", F.col("more").alias("hs")))
+    chosen = chosen.filter(F.size("hs") > 0).join(copies.select("id", "key1").distinct(), ["id", "key1"], "left_anti")
+    prefix = store.written(chosen.select("id", F.explode("hs").alias("h")), "prefixes")
     centres = store.written(prefix.groupBy("h").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1"), "centres")
     edges = skew.join(prefix, centres.select("h", "v"), ["h"], skew.heavy_of(centres, prefix.count()), ["id"]).filter("id <> v")
     blocks = components(edges.select(F.col("id").alias("u"), "v"), "blocks").select(F.col("node").alias("id"), F.col("component").alias("block"))

@@ -8,7 +8,6 @@ over ``PARTS`` tasks, and the row that they meet is repeated for each of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +26,15 @@ def join(many: DataFrame, one: DataFrame, keys: Sequence[str], heavy: DataFrame,
     """``many`` joined with ``one`` on ``keys``; ``spread`` are columns of ``many`` that differ among the rows of a key.
 
     ``heavy`` holds the heavy keys of ``many`` (see ``heavy_of``) with any other columns. Null keys match nothing.
-    With ``hint`` both sides are shuffled at any size.
+    With ``hint`` both sides are shuffled at any size. The plan is the same whether there are heavy keys or not.
     """
-    few = heavy.select(*keys).collect()  # fewer than SHARE rows
     side = lambda df: df.hint("merge") if hint else df
-    if not few:
-        return many.join(side(one), list(keys), how)
-    table = F.broadcast(many.sparkSession.createDataFrame(few, heavy.select(*keys).schema).withColumn("__heavy", F.lit(True)))
-    # a condition by itself, as the key columns of a broadcast table carry no name of their own
-    dealt = many.join(table, list(keys), "left").withColumn("__part", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))).drop("__heavy")
-    all_parts = F.sequence(F.lit(0).cast("long"), F.when(F.col("__heavy"), F.lit(PARTS - 1)).otherwise(F.lit(0)).cast("long"))
+    schema = heavy.select(*keys).schema
+    few = [tuple(r) for r in heavy.select(*keys).collect()]  # fewer than SHARE rows
+    # a row of nulls, which matches nothing, keeps the table from being empty and the join in the plan
+    table = many.sparkSession.createDataFrame([*few, (None,) * len(keys)], "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema) + ">")
+    table = F.broadcast(table.withColumn("__heavy", F.lit(True)))
+    dealt = many.join(table, list(keys), "left").withColumn("__part", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))).drop("__heavy")
+    all_parts = F.sequence(F.lit(0), F.when(F.col("__heavy"), F.lit(PARTS - 1)).otherwise(F.lit(0)))
     copied = one.join(table, list(keys), "left").withColumn("__part", F.explode(all_parts)).drop("__heavy")
     return dealt.join(side(copied), [*keys, "__part"], how).drop("__part")
-
-
-def all_equal(pairs: Sequence[tuple[str, str]]):
-    """The condition that the columns of each pair are equal or both null."""
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
