@@ -131,6 +131,49 @@ def highlights(text: Column, tokens: Column) -> Column:
     return F.array_sort(F.aggregate(tokens, F.array().cast(span), step))
 
 
+#: Bytes of a field and of a query's tokens beyond which nothing is highlighted.
+HIGHLIGHT_FIELD, HIGHLIGHT_QUERY = 32 * 1024, 4 * 1024
+
+
+def normalized_ranges(source: str, tokens: list[str]) -> list[tuple[int, int]]:
+    """Byte ranges in ``source`` of the first occurrence of each normalised token, none overlapping, by start.
+
+    A character is normalised together with the marks that follow it; a token that begins or ends within what one
+    of these became takes all of it.
+    """
+    if len(source.encode()) > HIGHLIGHT_FIELD or sum(len(t.encode()) for t in tokens) > HIGHLIGHT_QUERY:
+        return []
+    clusters: list[str] = []
+    for c in source:
+        if clusters and unicodedata.combining(c):
+            clusters[-1] += c
+        else:
+            clusters.append(c)
+    text, places, at = "", [], 0
+    for c in clusters:
+        made, n = unicodedata.normalize("NFKC", c).lower(), len(c.encode())
+        places += [(at, at + n)] * len(made)
+        text, at = text + made, at + n
+    out: list[tuple[int, int]] = []
+    for t in tokens:
+        first = text.find(t) if t else -1
+        if first >= 0:
+            own = places[first][0], places[first + len(t) - 1][1]
+            if not any(own[1] > a and own[0] < b for a, b in out):
+                out.append(own)
+    return sorted(out)
+
+
+def highlight_ranges(text: Column, tokens: list[str]) -> Column:
+    """array<struct<start,end>> of ``normalized_ranges`` for the tokens of a query, for texts in any script."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def find(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [{"start": a, "end": b} for a, b in normalized_ranges(x, tokens)] for x in column.to_pylist()], kind)
+
+    return F.arrow_udf(find, "array<struct<start:int,end:int>>")(text)
+
+
 def script_symbols(line: Column) -> tuple[Column, Column]:
     """Last namespace and last type declared on a line of code, without what follows ``//``."""
     code = F.substring_index(line, "//", 1)

@@ -240,7 +240,7 @@ def _matched(candidates: DataFrame, q: search.Query, fuzzy: bool) -> DataFrame:
 
 
 def finish(strict: DataFrame, fallback: DataFrame | None, prepared: Prepared, diagnostics: list[str]) -> tuple[DataFrame, int]:
-    """All matches in their final order, first of each key, and how many there are: rank, stable_key, match_kind, signals, name, path."""
+    """All matches in their final order, first of each key, and how many there are: rank, stable_key, match_kind, signals, name, path and what to highlight in them."""
     parts = _matched(strict, prepared.query, fallback is not None).withColumn("stage", F.lit(STRICT))
     if fallback is not None:
         parts = parts.unionByName(_matched(fallback, prepared.query, True).withColumn("stage", F.lit(FALLBACK)))
@@ -248,7 +248,9 @@ def finish(strict: DataFrame, fallback: DataFrame | None, prepared: Prepared, di
     first = F.row_number().over(Window.partitionBy("stable_key").orderBy(*order))
     ranked = parts.withColumn("_first", first).filter("_first = 1")
     ranked = settled(ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order))))  # bounded candidates
-    out = ranked.select("rank", "stable_key", text.kind_name(F.col("kind_rank")).alias("match_kind"), "field_boost", "fuzzy_score", "stage", "retrieval_score", "name", "path")
+    tokens = [t for term, _ in prepared.query.terms for t in text.terms_of(term).split()]
+    shown = [text.highlight_ranges(F.col(f), tokens).alias(f"{f}_ranges") for f in ("name", "path")]
+    out = ranked.select("rank", "stable_key", text.kind_name(F.col("kind_rank")).alias("match_kind"), "field_boost", "fuzzy_score", "stage", "retrieval_score", "name", "path", *shown)
     return out, ranked.count()
 
 
@@ -259,7 +261,7 @@ def execute(table: DataFrame, postings: DataFrame, n_docs: int, raw: str, limit:
     """
     p = prepare(raw, limit)
     spark: SparkSession = table.sparkSession
-    empty = "rank int, stable_key string, match_kind string, field_boost int, fuzzy_score long, stage int, retrieval_score long, name string, path string"
+    empty = "rank int, stable_key string, match_kind string, field_boost int, fuzzy_score long, stage int, retrieval_score long, name string, path string, name_ranges array<struct<start:int,end:int>>, path_ranges array<struct<start:int,end:int>>"
     if p.blocked or limit == 0:
         return Outcome(spark.createDataFrame([], empty), 0, "lower_bound" if limit == 0 else "exact", False, False, 0, 0, p.diagnostics)
     found = list(p.diagnostics)

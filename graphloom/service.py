@@ -104,7 +104,7 @@ class Service:
             raise ApiError("invalid_request", "query")
         table, postings, _ = self._ready()
         found = retrieval.execute(table, postings, self._n, raw, self._limit(request, 25, MAX_HITS))
-        hits = [r.asDict() for r in found.matches.orderBy("rank").collect()]  # at most MAX_HITS rows
+        hits = [r.asDict(recursive=True) for r in found.matches.orderBy("rank").collect()]  # at most MAX_HITS rows
         return {"hits": hits, "count": found.count, "relation": found.relation, "fallback": found.fallback_used, "diagnostics": [{"code": c, "severity": retrieval.severity(c)} for c in found.diagnostics]}
 
     def _suggest(self, request: dict) -> dict:

@@ -37,6 +37,8 @@ def test_ranking_over_the_index(found):
     assert hits(retrieval.execute(*found, "but"))[0] == ("a", "prefix")
     assert hits(retrieval.execute(*found, "button t:script")) == [("c", "substring")]
     assert hits(retrieval.execute(*found, '"button" in:assets/world')) == [("d", "token")]
+    first = out.matches.orderBy("rank").first()
+    assert [tuple(x) for x in first.name_ranges] == [(0, 6)] and [tuple(x) for x in first.path_ranges] == [(10, 16)]
     few = retrieval.execute(*found, "button", 2)
     assert len(hits(few)) == 2 and few.truncated and few.count == 4
 
@@ -51,6 +53,13 @@ def test_fallback_finds_typos_and_swaps(found):
     assert not retrieval.execute(*found, "bu").fallback_used
 
 
+@pytest.mark.parametrize(("source", "tokens", "want"), [("Ｐlayer ctrl", ["player"], [(0, 8)]), ("cafe\u0301 bar", ["café", "bar"], [(0, 6), (7, 10)]), ("ﬁle", ["fi"], [(0, 3)]), ("aXa", ["a", "xa"], [(0, 1), (1, 3)]), ("abc", ["zz", ""], []), ("x" * 40_000, ["x"], [])])
+def test_highlights_in_any_script(source, tokens, want):
+    from graphloom.functions.text import normalized_ranges
+
+    assert normalized_ranges(source, tokens) == want
+
+
 def test_queries_that_are_refused(found):
     for raw, code in (("", "empty_query"), ('"a', "unterminated_quote"), ("x" * 5000, "query_byte_limit_exceeded"), ("a " * 129, "query_term_limit_exceeded"), ("a.b.c " * 100, "retrieval_term_limit_exceeded"), ("t:what", "unsupported_type_filter")):
         out = retrieval.execute(*found, raw)
@@ -74,7 +83,7 @@ def test_ingest_says_what_it_leaves_out(spark):
 
 def test_hits_within_bytes(found):
     out = retrieval.execute(*found, "button")
-    one = len(json.dumps(out.matches.orderBy("rank").first().asDict(), separators=(",", ":")))
+    one = len(json.dumps(out.matches.orderBy("rank").first().asDict(recursive=True), separators=(",", ":")))
     assert retrieval.hits_within(out.matches, one + 10).count() == 1
 
 
