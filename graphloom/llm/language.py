@@ -31,6 +31,8 @@ MAX_SAMPLE = 4_000
 TEMPER = 0.3
 #: Pseudo-counts with which a host leans on its suffix, a suffix on the table, and declarations on even odds.
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 20.0, 20.0
+#: Size of the table of host priors up to which every task is sent all of it.
+SMALL_BYTES = 8 << 20
 #: Standard deviations below the sample's mean likelihood at which a text is unlike a language.
 SIGMAS = 8.0
 #: How far above the likelihood of unseen trigrams, on the way to the sample's mean, a text must be at least.
@@ -215,14 +217,19 @@ def identify(df: DataFrame, model: TextModel, text: Column, host: Column, declar
     hosts are one host; a null declaration is no evidence. Repeated rows are kept; an empty table gives no rows; names in
     ``carry`` must not begin with an underscore and a known one of this module, other columns don't matter. Every
     text is read and scored once; what was found is written beside ``carry`` and read for the verdicts. Rows
-    only meet the table of hosts, and those of a host with very many are dealt over many tasks.
+    meet the table of hosts where they lie if its measured size is at most ``SMALL_BYTES``; else they are shuffled by
+    host, and those of a host with very many are dealt over many tasks.
     """
     names = model.languages
     own = {"_host": F.coalesce(host.cast("string"), F.lit("")), "_suffix": suffix_of(F.coalesce(host.cast("string"), F.lit(""))), "_declared": folded(declared.cast("string"), names)}
     found = text_evidence(df, model, text, {**carry, **own}).withColumn("_row", F.monotonically_increasing_id())
     rows = store.written(found, "language-evidence")
     counts, hosts, declarations, whole = priors(rows, names)
-    rows = skew.join(rows, hosts, ["_host", "_suffix"], skew.heavy_of(counts, rows.count()), ["_row"], "left")
+    n, length = counts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_suffix")), F.lit(0))).first()
+    if length + 8 * n * len(names) <= SMALL_BYTES:
+        rows = rows.join(F.broadcast(hosts), ["_host", "_suffix"], "left")
+    else:
+        rows = skew.join(rows, hosts, ["_host", "_suffix"], skew.heavy_of(counts, rows.count()), ["_row"], "left")
     prior = F.coalesce("_prior", F.array(*map(F.lit, whole)))
     said = F.lit(None).cast("array<double>")
     for d, v in declarations.items():

@@ -82,8 +82,10 @@ def brute(rows, model):
     return out
 
 
-def test_verdicts_against_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("small", [language.SMALL_BYTES, -1])
+def test_verdicts_against_brute_force(spark, docs, monkeypatch, small):
     model = language.fit_text_model(docs)
+    monkeypatch.setattr(language, "SMALL_BYTES", small)
     monkeypatch.setattr(language.skew, "LEAST", 20)
     monkeypatch.setattr(language.skew, "SHARE", 3)
     rng = random.Random(4)
