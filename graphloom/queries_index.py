@@ -11,6 +11,7 @@ from graphloom.media import textures
 from graphloom.operators import admission, extraction, graph, mutation, projection, retrieval, search, view
 from graphloom.plans import catalog
 from graphloom.plans.catalog import EDGES_SQL, OBJECTS_SQL, SEARCH_SQL, table
+from graphloom.plans.settle import settled
 from graphloom.queries import ORACLES, PATH_SQL, STATE_SQL, TERMS_SQL, _reach, _start, query, resolved
 from graphloom.streaming import coalesce, watch
 
@@ -42,8 +43,10 @@ _POSTINGS_SQL = "SELECT f AS field, t AS term, stable_key, count(*) AS tf, sum(c
 
 
 def _index(spark, sf_dir):
-    docs = _assets(spark, sf_dir)
-    return *retrieval.index(docs), table(spark, sf_dir, "documents").count()
+    """The search table and its postings, written once: a query reads its own terms of them and no text again."""
+    made, postings = retrieval.index(_assets(spark, sf_dir))
+    made = settled(made)
+    return made, settled(postings), made.count()
 
 
 def _retrieve_sql(token: str, where: str, limit: int) -> str:
