@@ -171,12 +171,16 @@ def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
 
 
-def _first_links(big: DataFrame, prefix: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each class of the large blocks with the least class of each of its prefix members, checked exactly."""
-    spark = big.sparkSession
+def _first_pairs(prefix: DataFrame, centres: DataFrame) -> DataFrame:
+    """(id, v): each class with the least class of each of its prefix members."""
     heavy = skew.heavy_of(centres, prefix.count())
     pairs = skew.join(prefix, centres.select("h", "v"), ["h"], heavy, ["id"]).filter("id <> v").select("id", "v").distinct()
-    pairs = store.written(pairs, "first-pairs")
+    return store.written(pairs, "first-pairs")
+
+
+def _first_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the first pairs, checked exactly."""
+    spark = pairs.sparkSession
     light = sets.select("id", "size", "bits")
     # weigh pairs by their signatures: bits that the other lacks are members that it lacks
     met = pairs.join(light, "id")
@@ -196,18 +200,26 @@ def _first_links(big: DataFrame, prefix: DataFrame, centres: DataFrame, sets: Da
 
 
 def _parts(big: DataFrame) -> DataFrame:
-    """(id, size, group, band, part, pure): parts of one size band and bounded number and weight, pure ones of one component."""
-    placed = store.written(big, "placed")
-    total = placed.count()
+    """(id, size, group, band, part, pure): parts of one size band and bounded number and weight, pure ones of one component.
+
+    Classes that are no large component lie together if they have the same ``near``, the least class that any of their
+    prefix members leads to, so that the classes of a prefix member lie in few parts.
+    """
+    left = store.written(big, "placed")
+    total, made = left.count(), []
     room = lambda share: F.greatest(F.lit(1).cast("long"), F.ceil(F.greatest(F.col("n") / (TILE_SETS * share), F.col("weight") / (TILE_MEMBERS * share))))
-    own = _counted(placed, ["group", "band"]).select("group", "band", "n", room(1.0).alias("own"), ((F.col("n") > TILE_SETS / 2) | (F.col("weight") > TILE_MEMBERS / 2)).alias("pure"))
-    own = store.written(own, "groups")
-    marked = store.written(skew.join(placed, own.drop("n"), ["group", "band"], skew.heavy_of(own, total), ["id"]), "marked")
-    mixed = store.written(_counted(marked.filter("not pure"), ["block", "band"]).select("block", "band", "n", room(0.5).alias("shared")), "mixed")
-    left = skew.join(marked.filter("not pure"), mixed.drop("n"), ["block", "band"], skew.heavy_of(mixed, total), ["id"])
-    names = ["id", "size", "group", "band"]
-    pure = marked.filter("pure").select(*names, F.xxhash64(F.lit("pure"), "group", "band", F.pmod(F.xxhash64("id"), "own")).alias("part"), F.lit(True).alias("pure"))
-    return pure.union(left.select(*names, F.xxhash64(F.lit("mixed"), "block", "band", F.pmod(F.xxhash64("group"), "shared")).alias("part"), F.lit(False).alias("pure")))
+    large = (F.col("n") > TILE_SETS / 2) | (F.col("weight") > TILE_MEMBERS / 2)
+    for key, pure in (("group", True), ("near", False)):
+        keys = [key, "band"]
+        own = store.written(_counted(left, keys).select(*keys, "n", room(1.0).alias("own"), large.alias("large")), "large-" + key)
+        marked = store.written(skew.join(left, own.drop("n"), keys, skew.heavy_of(own, total), ["id"]), "marked")
+        part = F.xxhash64(F.lit(key), *keys, F.pmod(F.xxhash64("id"), "own"))
+        made.append(marked.filter("large").select("id", "size", "group", "band", part.alias("part"), F.lit(pure).alias("pure")))
+        left = marked.filter("not large").drop("own", "large")
+    mixed = store.written(_counted(left, ["block", "band"]).select("block", "band", "n", room(0.5).alias("shared")), "mixed")
+    rest = skew.join(left, mixed.drop("n"), ["block", "band"], skew.heavy_of(mixed, total), ["id"])
+    made.append(rest.select("id", "size", "group", "band", F.xxhash64(F.lit("mixed"), "block", "band", F.pmod(F.xxhash64("near"), "shared")).alias("part"), F.lit(False).alias("pure")))
+    return reduce(DataFrame.union, made)
 
 
 def _tiles(parts: DataFrame, prefix: DataFrame) -> DataFrame:
@@ -283,8 +295,10 @@ def _large_blocks(big: DataFrame, prefix: DataFrame, centres: DataFrame, sets: D
     """Links that connect the classes of the blocks that are more than one tile."""
     step = -math.log(percent / 100) + 0.01  # a little wider, so that rounding can't part two sets that link
     within = store.written(prefix.join(big.select("id"), "id", "left_semi"), "large-prefixes")
-    first = _first_links(big, within, centres, sets, percent)
+    pairs = _first_pairs(within, centres)
+    first = _first_links(pairs, sets, percent)
+    near = pairs.groupBy("id").agg(F.least(F.min("v"), F.min("id")).alias("near"))
     groups = components(first, "first-components").select(F.col("node").alias("id"), F.col("component").alias("group"))
-    banded = big.join(groups, "id", "left").withColumns({"group": F.coalesce("group", "id"), "band": F.floor(F.log(F.col("size").cast("double")) / step)})
+    banded = big.join(groups, "id", "left").join(near, "id", "left").withColumns({"group": F.coalesce("group", "id"), "near": F.coalesce("near", "id"), "band": F.floor(F.log(F.col("size").cast("double")) / step)})
     tiles = _tiles(store.written(_parts(banded), "parts"), within)
     return [first, store.written(_links(tiles.join(sets.select("id", "members"), "id"), percent), "links")]
