@@ -50,13 +50,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     repeats = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(text) != F.max(text)).alias("differ")).filter("n > 1")
     repeats = store.written(repeats.select("doc_id", "differ"), "repeated-ids")
     if repeats.isEmpty():
-        found = store.written(ngram_join.jaccard_components(docs), "near-duplicates")
+        found = ngram_join.jaccard_components(docs)
         gone = found.filter("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
         return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     own = -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
     known = docs.join(repeats.withColumnRenamed("differ", "__gl_differ"), "doc_id", "left")
     known = store.written(known.withColumn("__gl_node", F.when(F.col("__gl_differ"), own).otherwise(F.col("doc_id"))), "numbered")
-    found = store.written(ngram_join.jaccard_components(known, "__gl_node"), "near-duplicates")
+    found = ngram_join.jaccard_components(known, "__gl_node")
     gone = found.filter("component_id <> id").select(F.col("id").alias("__gl_node")).distinct()
     kept = known.join(gone.hint("merge"), "__gl_node", "left_anti")
     once = kept.filter("__gl_differ is not null").dropDuplicates(["__gl_node"])

@@ -200,8 +200,12 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows without a line to delete are not listed. Of two texts the one with the larger id is later. Rows without
     an id, null, empty and blank texts take no part; rows with the same id and text are one document, rows with
     the same id and other texts are ordered by a hash of the text. A text that equals an earlier one loses all its
-    lines if it has ``FULL`` words. An empty table gives no rows.
+    lines if it has ``FULL`` words. An empty table gives no rows. Of the tables written on the way only the result stays.
     """
+    return store.settled(df.sparkSession, "duplicate-lines", lambda: _duplicate_lines(df, id_col, text_col))
+
+
+def _duplicate_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null")
     listed = store.written(docs.mapInArrow(_lines, LINES_DDL).filter("n_words > 0"), "lines")
     first = store.written(listed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n > 1"), "copies")
@@ -216,6 +220,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = store.written(shared, "shared-windows")
     pairs = skew.join(held, shared.select("h", "owner"), ["h"], skew.heavy_of(shared, held.count()), ["id", "key"])
     pairs = store.written(pairs.filter(at != F.col("owner")).select("id", "key", F.col("owner.id").alias("id2"), F.col("owner.key").alias("key2")).distinct(), "pairs")
+    store.drop(held, shared)
 
     owners = pairs.groupBy("id2", "key2").agg(F.count("*").alias("n"))
     owners = store.written(owners.withColumn("parts", F.ceil(F.col("n") / ALIGNED)), "owners")
@@ -227,7 +232,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.repartition("tile").sortWithinPartitions("tile", "side").select("tile", "side", "id", "key", "place", "h", "words")
     aligned = rows.mapInArrow(_align, "id long, key long, gone array<int>")
     aligned = aligned.groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-    return store.written(aligned.union(copies), "duplicate-lines")
+    return aligned.union(copies)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -242,8 +242,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members and link with nothing. Rows of one id are one node, which has the links of all their texts; a row
     without an id has a null component and links with nothing. An empty table gives no rows. Other columns of
     ``df``, whatever their names, aren't returned. Texts of any length are whole sets; ties don't occur, as a
-    component's id is its least one.
+    component's id is its least one. Of the tables written on the way only the result stays.
     """
+    return store.settled(df.sparkSession, "jaccard-components", lambda: _jaccard_components(df, id_col, text_col, words, percent))
+
+
+def _jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     classes = max(1, int(1 / (1.3 * (1 - percent / 100)))) if percent < 100 else 64
     sketch = store.written(docs.mapInArrow(_sketch(words, percent, classes), SKETCH_DDL), "shingles")
@@ -264,11 +268,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chosen = rare.select("id", "key1", F.transform(F.slice("own", F.lit(1), take), lambda m: m["h"]).alias("hs")).union(known.select("id", "key1", F.col("more").alias("hs")))
     chosen = chosen.filter(F.size("hs") > 0).join(copies.select("id", "key1").distinct(), ["id", "key1"], "left_anti")
     prefix = store.written(chosen.select("id", F.explode("hs").alias("h")), "prefixes")
+    sizes = store.written(sketch.select("id", "size"), "sizes")
+    store.drop(sketch, shared, least)
     centres = store.written(prefix.groupBy("h").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1"), "centres")
     edges = skew.join(prefix, centres.select("h", "v"), ["h"], skew.heavy_of(centres, prefix.count()), ["id"]).filter("id <> v")
     blocks = components(edges.select(F.col("id").alias("u"), "v"), "blocks").select(F.col("node").alias("id"), F.col("component").alias("block"))
-    sizes = known.groupBy("id").agg(F.sum("size").cast("int").alias("size"))
-    blocks = store.written(blocks.join(sizes, "id"), "blocks")
+    weights = sizes.filter("id is not null and size > 0").groupBy("id").agg(F.sum("size").cast("int").alias("size"))
+    blocks = store.written(blocks.join(weights, "id"), "blocks")
 
     counts = store.written(_counted(blocks, ["block"]).select("block", "n", ((F.col("n") <= TILE_SETS) & (F.col("weight") <= TILE_MEMBERS)).alias("whole")), "block-sizes")
     placed = store.written(skew.join(blocks, counts.drop("n"), ["block"], skew.heavy_of(counts, blocks.count()), ["id"]), "placed")
@@ -288,7 +294,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links += _large_blocks(big, prefix, centres, store.written(sets_of(big.select("id"), True), "sets"), percent)
     edges = reduce(DataFrame.union, links).union(copies.select(F.col("id").alias("u"), F.col("least").alias("v")))
     found = components(edges, "components")
-    return sketch.select("id", F.col("size").cast("long").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return sizes.select("id", F.col("size").cast("long").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def _large_blocks(big: DataFrame, prefix: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:

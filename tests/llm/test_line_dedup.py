@@ -1,10 +1,11 @@
+import os
 import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm import line_dedup, queries
+from graphloom.llm import line_dedup, queries, store
 
 
 def words(rng, n):
@@ -153,3 +154,13 @@ def test_query(spark, data, docs):
     for r in rows:
         assert r.n_lines == len(texts[r.doc_id].split("\n"))
         assert (r.n_removed == 0) == (r.text == texts[r.doc_id])
+
+
+def test_only_the_result_stays_on_disk(spark, table):
+    rng = random.Random(22)
+    passage = [words(rng, 9) for _ in range(3)]
+    place = store.shared_dir(spark).removeprefix("file://") + "/graphloom"
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    found = line_dedup.duplicate_lines(table(["\n".join([words(rng, 4), *passage]) for _ in range(9)]))
+    assert len(set(os.listdir(place)) - before) == 1
+    assert {r.id: r.gone for r in found.collect()} == {i: [1, 2, 3] for i in range(1, 9)}

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from itertools import combinations
@@ -5,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from graphloom.llm import ngram_join, queries
+from graphloom.llm import ngram_join, queries, store
 from graphloom.llm.components import components
 
 
@@ -143,3 +144,15 @@ def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
     rows = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " x"), (4, b + " x y")], "doc_id long, text string")
     assert {r.id: r.component_id for r in ngram_join.jaccard_components(rows, words=2, percent=60).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_only_the_result_stays_on_disk(spark, table, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 5)
+    rng = random.Random(21)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(80)]
+    texts = [" ".join([*base[:k], "x" + str(k), *base[k:]]) for k in range(40)]
+    place = store.shared_dir(spark).removeprefix("file://") + "/graphloom"
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    found = ngram_join.jaccard_components(table(texts))
+    assert len(set(os.listdir(place)) - before) == 1
+    assert got(found) == brute(dict(enumerate(texts)), 5, 80)
