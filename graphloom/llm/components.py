@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import skew, store
+from graphloom.llm import kernel, skew, store
 
 #: Edges that one task contracts together; what it holds is bounded by that.
 CHUNK = 250_000
@@ -81,11 +81,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     edges = edges.filter("u is not null and v is not null and u <> v")
-    now = store.written(edges.mapInArrow(_contract, "u long, v long"), name)
+    now = store.written(edges.mapInArrow(kernel.task(_contract), "u long, v long"), name)
     while _unsettled(now):
         total = now.count()
         wide = store.written(_large_star(now, total), name)
-        then = store.written(_small_star(wide, wide.count()).mapInArrow(_contract, "u long, v long"), name)
+        then = store.written(_small_star(wide, wide.count()).mapInArrow(kernel.task(_contract), "u long, v long"), name)
         for old in (now, wide):
             if place := store.path_of(old):
                 store.remove(spark, place)

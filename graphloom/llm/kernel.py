@@ -7,7 +7,8 @@ Hashes are 64 bits wide: a polynomial over byte values drawn by splitmix64, then
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,40 @@ SLICE_BYTES = 512 << 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
+#: What this process keeps between tasks: by name, how to give it up.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, give_up: Callable[[], None]) -> None:
+    """Notes that this process keeps something large until a task that doesn't use it begins."""
+    _kept[name] = give_up
+
+
+def _begin(uses: str | None) -> None:
+    for name in [n for n in _kept if n != uses]:
+        _kept.pop(name)()
+    _trim()
+
+
+def _trim() -> None:
+    """Hands memory that is free back to the system; without this a worker that is reused stays as large as it ever was."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def task(f: Callable, uses: str | None = None) -> Callable:
+    """``f`` for ``mapInArrow``, run in a process that keeps nothing of other operators (but what it ``uses``) and no free memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(uses)
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""

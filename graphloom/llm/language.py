@@ -129,7 +129,7 @@ def fit_text_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = df.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{language_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     known = known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{language_col}`").alias("language"), F.col(f"`{text_col}`").alias("text"))
     own = known.join(F.broadcast(_sample(known.select("_id", "language"), most)), ["_id", "language"]).select("language", "text")
-    counts = own.mapInArrow(_count, COUNT_DDL).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = own.mapInArrow(kernel.task(_count), COUNT_DDL).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return TextModel(["und"], np.zeros((BUCKETS, 1)), np.array([np.inf]))
     names = sorted(counts["language"].unique())
@@ -140,7 +140,7 @@ def fit_text_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     log_share = np.log(table / table.sum(axis=0))
     unseen, mean = log_share.min(axis=0), ((table - 0.5) * log_share).sum(axis=0) / (table - 0.5).sum(axis=0)
     model = TextModel(names, log_share, unseen + ABOVE_UNSEEN * (mean - unseen))
-    rows = own.mapInArrow(_spread(model), SPREAD_DDL).groupBy("language").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("s")).collect()
+    rows = own.mapInArrow(kernel.task(_spread(model)), SPREAD_DDL).groupBy("language").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("s")).collect()
     for r in rows:
         mean = r.t / r.n
         deviation = max(r.s / r.n - mean * mean, 1e-6) ** 0.5
@@ -168,7 +168,7 @@ def text_evidence(df: DataFrame, model: TextModel, text: Column, carry: dict[str
     """The columns ``carry`` with _log (by language, best 0), _text_language and _like of each row's whole text."""
     rows = df.select(F.lit(0).alias("_0"), text.cast("string").alias("_1"), *[c.alias(n) for n, c in carry.items()])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(_text_evidence(model), f"{ddl}, _log array<double>, _text_language string, _like boolean")
+    return rows.mapInArrow(kernel.task(_text_evidence(model)), f"{ddl}, _log array<double>, _text_language string, _like boolean")
 
 
 def priors(evidence: DataFrame, languages: list[str]) -> tuple[DataFrame, DataFrame, dict[str | None, list[float]], list[float]]:

@@ -207,7 +207,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _duplicate_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null")
-    listed = store.written(docs.mapInArrow(_lines, LINES_DDL).filter("n_words > 0"), "lines")
+    listed = store.written(docs.mapInArrow(kernel.task(_lines), LINES_DDL).filter("n_words > 0"), "lines")
     first = store.written(listed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max("n_words").alias("n_words")).filter("n > 1"), "copies")
     heavy = skew.heavy_of(first, listed.count())
     same = skew.join(listed.select("id", "key", "place"), first.filter(F.col("n_words") >= FULL).select("key", "least"), ["key"], heavy, ["id"])
@@ -230,7 +230,7 @@ def _duplicate_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.union(owners.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.col("id2").alias("id"), F.col("key2").alias("key"), tile(F.col("part")), F.lit(0)))
     rows = listed.select("id", "key", "place", "h", "words").join(rows.hint("merge"), ["id", "key"])
     rows = rows.repartition("tile").sortWithinPartitions("tile", "side").select("tile", "side", "id", "key", "place", "h", "words")
-    aligned = rows.mapInArrow(_align, "id long, key long, gone array<int>")
+    aligned = rows.mapInArrow(kernel.task(_align), "id long, key long, gone array<int>")
     aligned = aligned.groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return aligned.union(copies)
 

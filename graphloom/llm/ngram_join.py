@@ -160,7 +160,7 @@ LINKS_DDL = "u long, v long"
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """The forests of all tiles of rows (tile, side, id, group, members)."""
-    return rows.repartition("tile").sortWithinPartitions("tile", "side").select("tile", "side", "id", "group", "members").mapInArrow(_compare(percent), LINKS_DDL)
+    return rows.repartition("tile").sortWithinPartitions("tile", "side").select("tile", "side", "id", "group", "members").mapInArrow(kernel.task(_compare(percent)), LINKS_DDL)
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -250,7 +250,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     classes = max(1, int(1 / (1.3 * (1 - percent / 100)))) if percent < 100 else 64
-    sketch = store.written(docs.mapInArrow(_sketch(words, percent, classes), SKETCH_DDL), "shingles")
+    sketch = store.written(docs.mapInArrow(kernel.task(_sketch(words, percent, classes)), SKETCH_DDL), "shingles")
     known = sketch.filter("id is not null and size > 0")
 
     keys = ["key1", "key2", "size"]
@@ -284,7 +284,7 @@ def _jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, p
         joined = docs.join(rows.hint("merge"), "id").select(*rows.columns, "text")
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         carry = pa.schema([(c, pa.int64()) for c in rows.columns])
-        return joined.mapInArrow(_sets(words, carry, signed), f"{ddl}, size int, {'bits array<long>, ' if signed else ''}members array<long>")
+        return joined.mapInArrow(kernel.task(_sets(words, carry, signed)), f"{ddl}, size int, {'bits array<long>, ' if signed else ''}members array<long>")
 
     small = sets_of(placed.filter("whole").select("id", "block"), False)
     small = small.select(F.col("block").cast("string").alias("tile"), F.lit(2).alias("side"), "id", F.col("id").alias("group"), "members")

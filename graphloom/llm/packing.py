@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import store
+from graphloom.llm import kernel, store
 from graphloom.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -199,7 +199,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     whatever their names, aren't returned.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(_cutter(tokenizer, end_id, capacity), PIECES_DDL)
+    return rows.mapInArrow(kernel.task(_cutter(tokenizer, end_id, capacity), "tokens"), PIECES_DDL)
 
 
 def _placer(plan: Plan, names: list[str]):

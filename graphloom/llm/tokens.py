@@ -205,5 +205,6 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder a file and worker process."""
+    """One encoder a file and worker process, kept until another operator's task begins there."""
+    kernel.keeps("tokens", encoder.cache_clear)
     return ChunkEncoder(path)

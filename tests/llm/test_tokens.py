@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from graphloom.llm import packing, queries, token_records
+from graphloom.llm import kernel, line_dedup, packing, queries, token_records, tokens
 from graphloom.llm.tokens import ChunkEncoder
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -167,3 +167,14 @@ def test_records_of_many_equal_ids_are_files_apart(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert files.filter("records > 0").count() > 1
     assert token_records.read_records(spark, files).count() == 4000
+
+
+def test_a_worker_gives_up_the_words_that_it_kept_when_another_operator_begins():
+    batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(["a b\nc"])], names=["id", "key", "text"])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cut = kernel.task(packing._cutter(path, 0, 2048), "tokens")
+    assert sum(x.num_rows for x in cut(iter([batch.select(["id", "text"])]))) == 1
+    assert sum(x.num_rows for x in cut(iter([batch.select(["id", "text"])]))) == 1
+    assert tokens.encoder.cache_info().currsize == 1
+    assert sum(x.num_rows for x in kernel.task(line_dedup._lines)(iter([batch]))) == 1
+    assert tokens.encoder.cache_info().currsize == 0
