@@ -6,11 +6,13 @@
    first, rarest first, then all others by hash. Their rarity is counted over all documents, and as the class
    is somewhat larger than a prefix, few others are ever needed. Shingles of one document only are never
    shuffled further; frequent ones come last, so a passage that many documents hold brings none together.
+   A member's place in the order bounds the sizes of the sets that may link by it: what stands before it isn't
+   shared. So of two sets as large only one member in 12 counts (at 85 %), not one in 7.
 3. Classes that share a prefix member, directly or through others, form a block. A block of bounded number and
    weight is one tile. In a larger one, each class is first compared with the least class of each of its prefix
    members, which turns a group of near copies into one component at a cost in proportion to its size. Then the
    block is cut by size bands into parts, and a class goes to the tile of its part and another one only if it
-   shares a prefix member with a class of that part, of the same or the next band and of another component. So
+   shares a prefix member with a class of that part, of a size that may link by it and of another component. So
    classes that are only chained by others never meet, and a group that is one component by now doesn't either.
 4. In a tile each set has a bitmap of its hashes. Bits of one bitmap that another lacks are members that the
    other set lacks, which bounds the overlap from above; pairs that pass are intersected exactly as sorted
@@ -167,15 +169,28 @@ def _prefix(size: Column, percent: int) -> Column:
     return size - F.floor((size * percent + 99) / 100) + 1
 
 
-def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+def _most(size: Column, before: Column, percent: int) -> Column:
+    """The size of the largest set that may link with one of ``size`` if none of the first ``before`` members is shared."""
+    return (F.floor((100 + percent) * (size - before).cast("long") / percent) - size).cast("int")
+
+
+def _that_meet(prefix: DataFrame) -> DataFrame:
+    """The rows of a prefix (id, h, size, most) by which sets may meet, with ``v``, a set that all others of a member may be tied to.
+
+    Two sets whose first shared member is ``h`` link only if neither is larger than the other one's ``most``. So the
+    smaller one's isn't less than its own size, and a member that no set holds like this brings none together.
+    """
+    own = F.col("most") >= F.col("size")
+    held = prefix.groupBy("h").agg(F.min(F.when(own, F.col("id"))).alias("v"), F.min("size").alias("low"), F.max("most").alias("far"), F.count("*").alias("n"))
+    held = store.written(held.filter("n > 1"), "centres")  # those without v, too, as their rows may be many
+    joined = skew.join(prefix, held.filter("v is not null").select("h", "v", "low", "far"), ["h"], skew.heavy_of(held, prefix.count()), ["id"])
+    found = store.written(joined.filter("low <= most and size <= far").drop("low", "far"), "prefixes-that-meet")
+    store.drop(held)
+    return found
 
 
-def _first_pairs(prefix: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, v): each class with the least class of each of its prefix members."""
-    heavy = skew.heavy_of(centres, prefix.count())
-    pairs = skew.join(prefix, centres.select("h", "v"), ["h"], heavy, ["id"]).filter("id <> v").select("id", "v").distinct()
-    return store.written(pairs, "first-pairs")
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
 
 
 def _first_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,11 +239,11 @@ def _parts(big: DataFrame) -> DataFrame:
 
 def _tiles(parts: DataFrame, prefix: DataFrame) -> DataFrame:
     """(tile, side, id, group): each class in every tile in which it may meet one that shares a prefix member."""
-    held = store.written(prefix.join(parts, "id"), "part-members")
+    held = store.written(prefix.join(parts.select("id", "group", "part", "pure"), "id"), "part-members")
     apart = F.when(F.col("pure"), F.col("group"))
-    others = held.select("h", F.col("part").alias("part2"), F.col("band").alias("band2"), apart.alias("group2")).distinct()
+    others = held.groupBy("h", F.col("part").alias("part2"), apart.alias("group2")).agg(F.min("size").alias("low"), F.max("most").alias("far"))
     heavy = skew.heavy_of(held.groupBy("h").agg(F.count("*").alias("n")), held.count())
-    met = skew.join(held, others, ["h"], heavy, ["id"]).filter("abs(band - band2) <= 1 and (part <> part2 or not pure) and (not pure or group2 is null or group <> group2)")
+    met = skew.join(held, others, ["h"], heavy, ["id"]).filter("low <= most and size <= far and (part <> part2 or not pure) and (not pure or group2 is null or group <> group2)")
     met = met.select("id", "group", "part", "part2").distinct()
     side = F.when(F.col("part") == F.col("part2"), 2).when(F.col("part") < F.col("part2"), 0).otherwise(1)
     return met.select(F.concat_ws(":", F.least("part", "part2").cast("string"), F.greatest("part", "part2").cast("string")).alias("tile"), side.alias("side"), "id", "group")
@@ -265,13 +280,16 @@ def _jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, p
     rare = skew.join(members, shared.select("h", "n"), ["h"], heavy, ["id"]).groupBy("id", "key1", "size", "n_first").agg(own)
     take = F.greatest(F.lit(0), _prefix(F.col("size"), percent) - F.col("n_first") + F.size("own")).cast("int")
     # copies are left out while a row is a class, before it becomes a row a member
-    chosen = rare.select("id", "key1", F.transform(F.slice("own", F.lit(1), take), lambda m: m["h"]).alias("hs")).union(known.select("id", "key1", F.col("more").alias("hs")))
+    before = (F.col("n_first") - F.size("own")).alias("before")  # members of one document only are the rarest
+    chosen = rare.select("id", "key1", "size", before, F.transform(F.slice("own", F.lit(1), take), lambda m: m["h"]).alias("hs")).union(known.select("id", "key1", "size", "n_first", F.col("more").alias("hs")))
     chosen = chosen.filter(F.size("hs") > 0).join(copies.select("id", "key1").distinct(), ["id", "key1"], "left_anti")
-    prefix = store.written(chosen.select("id", F.explode("hs").alias("h")), "prefixes")
+    ranked = chosen.select("id", "size", "before", F.posexplode("hs").alias("at", "h"))
+    ranked = store.written(ranked.select("id", "h", "size", _most(F.col("size"), F.col("before") + F.col("at"), percent).alias("most")), "prefixes")
     sizes = store.written(sketch.select("id", "size"), "sizes")
     store.drop(sketch, shared, least)
-    centres = store.written(prefix.groupBy("h").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1"), "centres")
-    edges = skew.join(prefix, centres.select("h", "v"), ["h"], skew.heavy_of(centres, prefix.count()), ["id"]).filter("id <> v")
+    prefix = _that_meet(ranked)
+    store.drop(ranked)
+    edges = prefix.filter("id <> v")
     blocks = components(edges.select(F.col("id").alias("u"), "v"), "blocks").select(F.col("node").alias("id"), F.col("component").alias("block"))
     weights = sizes.filter("id is not null and size > 0").groupBy("id").agg(F.sum("size").cast("int").alias("size"))
     blocks = store.written(blocks.join(weights, "id"), "blocks")
@@ -291,17 +309,17 @@ def _jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, p
     links = [store.written(_links(small, percent), "links")]
     big = placed.filter("not whole").select("id", "block", "size")
     if not big.isEmpty():
-        links += _large_blocks(big, prefix, centres, store.written(sets_of(big.select("id"), True), "sets"), percent)
+        links += _large_blocks(big, prefix, store.written(sets_of(big.select("id"), True), "sets"), percent)
     edges = reduce(DataFrame.union, links).union(copies.select(F.col("id").alias("u"), F.col("least").alias("v")))
     found = components(edges, "components")
     return sizes.select("id", F.col("size").cast("long").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _large_blocks(big: DataFrame, prefix: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+def _large_blocks(big: DataFrame, prefix: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     """Links that connect the classes of the blocks that are more than one tile."""
     step = -math.log(percent / 100) + 0.01  # a little wider, so that rounding can't part two sets that link
     within = store.written(prefix.join(big.select("id"), "id", "left_semi"), "large-prefixes")
-    pairs = _first_pairs(within, centres)
+    pairs = store.written(within.filter("id <> v").select("id", "v").distinct(), "first-pairs")
     first = _first_links(pairs, sets, percent)
     near = pairs.groupBy("id").agg(F.least(F.min("v"), F.min("id")).alias("near"))
     groups = components(first, "first-components").select(F.col("node").alias("id"), F.col("component").alias("group"))

@@ -140,6 +140,44 @@ def test_a_large_group_of_near_copies_meets_the_least_only(table, monkeypatch):
     assert seen[0].count() == 0
 
 
+def test_a_passage_and_unlike_copies_bring_few_together(table, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(120)]
+    texts = [" ".join([word() for _ in range(50)] + passage + [word() for _ in range(rng.randrange(30))]) for _ in range(500)]
+    for _ in range(500):  # copies with six words of their own, too many to link
+        own = base.copy()
+        for k in rng.sample(range(4, 116, 4), 6):
+            own[k] = word()
+        texts.append(" ".join(own))
+    seen, whole = [], ngram_join._tiles
+
+    def tiles(*a):
+        found = whole(*a)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_tiles", tiles)
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 20)
+    found = got(ngram_join.jaccard_components(table(texts), words=4, percent=85))
+    assert found == brute(dict(enumerate(texts)), 4, 85)
+    assert sum(seen) < 20_000
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_links_at_the_bound_between_sizes_stay(table, monkeypatch, percent):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 3)
+    rng, texts = random.Random(percent), []
+    for g in range(12):  # sets that hold each other, as small as may just link and one less
+        pool = [f"g{g}w{i}" for i in range(110)]
+        rng.shuffle(pool)
+        for size in (rng.choice([17, 20, 34, 40, 60, 100]) for _ in range(4)):
+            for k in (size, -(-size * percent // 100), -(-size * percent // 100) - 1):
+                texts.append(" ".join([*pool[:k], "all"] if g % 3 == 0 else pool[:k]))
+    rng.shuffle(texts)
+    assert got(ngram_join.jaccard_components(table(texts), words=1, percent=percent)) == brute(dict(enumerate(texts)), 1, percent)
+
+
 def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
     rows = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " x"), (4, b + " x y")], "doc_id long, text string")
