@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import gather
 from graphloom.operators.changes import digest
 from graphloom.plans.settle import settled
 
@@ -143,11 +144,11 @@ def claims(sources: DataFrame, metas: DataFrame) -> DataFrame:
 
 def guid_sources(references: DataFrame, claimed: DataFrame) -> DataFrame:
     """(ref, sources): all sources that claim a reference's GUID, sorted. references: ref, guid."""
-    hits = references.join(claimed, "guid", "left")
-    return hits.groupBy("ref").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    refs = references.repartition("ref").groupBy("ref").agg(F.collect_set("guid").alias("_guids"))  # dealt first: a task that reads may read all
+    found = gather.by_set(refs, F.col("_guids"), claimed, "guid", F.array_sort(F.collect_set("source")), "sources")
+    return found.select("ref", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
 
 
 def script_symbols(objects: DataFrame, symbols: DataFrame) -> DataFrame:
     """(address, symbols) of the scripts that an object refers to. objects: address, guids; symbols: guid, symbol."""
-    each = objects.select("address", F.explode(F.array_distinct("guids")).alias("guid")).join(symbols, "guid")
-    return each.groupBy("address").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    return gather.by_set(objects, F.col("guids"), symbols, "guid", F.array_sort(F.collect_set("symbol")), "symbols").filter("symbols is not null").select("address", "symbols")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import projection
+from graphloom.operators import admission, projection
 
 
 def measured(spark, run) -> dict[str, int]:
@@ -39,3 +39,18 @@ def test_symbols_that_many_assets_share_are_moved_once(spark):
     got = {r.stable_id: r.script_symbols for r in out.filter("stable_id < 6").collect()}
     assert got["0"] == got["1"] == got["2"] == ["a", "own"]
     assert set(got["3"]) == {"a", "b", "own"} | set(got["4"]) and got["3"] == sorted(got["3"]) and len(got["4"]) == m + 2 == len(got["5"])
+
+
+def test_sources_that_many_references_share_are_moved_once(spark):
+    n, m = 4000, 400
+    guid = F.when(F.col("id") == 0, None).when(F.col("id") == 1, "nobody's").when(F.col("id") == 2, "h").otherwise("g")
+    references = spark.range(n).select(F.col("id").alias("ref"), guid.alias("guid")).unionByName(spark.sql("SELECT 2L AS ref, 'g' AS guid"))
+    claimed = spark.range(m).select(F.lit("g").alias("guid"), F.sha2(F.col("id").cast("string"), 256).alias("source")).unionByName(spark.sql("SELECT 'h' AS guid, 'only' AS source"))
+    out = admission.guid_sources(references, claimed)
+    assert measured(spark, lambda: done(out))["shuffled"] < 1_000_000  # 4000 copies of 400 sources are 100 MB
+    got = {r.ref: r.sources for r in out.filter("ref < 5").collect()}
+    assert len(got) == 5 and got[0] == got[1] == [] and got[3] == got[4] == sorted(got[3]) and len(got[3]) == m
+    assert got[2] == sorted([*got[3], "only"])
+    objects = spark.createDataFrame([("a", ["g", "h", "g"]), ("b", ["x"]), ("c", [])], "address string, guids array<string>")
+    named = spark.createDataFrame([("g", "S"), ("g", "R"), ("h", "S")], "guid string, symbol string")
+    assert [tuple(r) for r in admission.script_symbols(objects, named).collect()] == [("a", ["R", "S"])]
