@@ -96,10 +96,7 @@ def quantised(score: Column) -> Column:
 def index(docs: DataFrame, ascii_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """The search table and its postings (term, field, stable_key, tf, length). docs: stable_key, name, path, kind, content."""
     table = search.prepared(docs, ascii_only).withColumn("content_terms", text.to_terms(F.coalesce("content", F.lit("")), ascii_only))
-    parts = F.flatten(F.array(*[search._terms_of(f) for f in BOOSTS]))
-    each = table.select("stable_key", F.explode(parts).alias("p")).groupBy("stable_key", "p.field", "p.term").agg(F.count("*").alias("tf"))
-    length = F.sum("tf").over(Window.partitionBy("stable_key", "field"))  # a document's own terms
-    return table, each.withColumn("length", length)
+    return table, search.counted(table, tuple(BOOSTS))
 
 
 def vocabulary_matches(postings: DataFrame, tokens: list[tuple[int, str, int]], raw: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ from graphloom.functions import text
 #: Limits and factors of candidates, and boosts of exact, prefix and fuzzy retrieval by field.
 MAX_CANDIDATES, FACTOR, FILTERED_FACTOR, MAX_INPUTS = 200, 5, 30, 4096
 BOOSTS = {"name": (3.0, 2.0, 0.5), "path": (2.0, 1.5, 0.375), "kind": (1.0, 1.0, 0.25)}
+FIELDS = tuple(BOOSTS)
 K1, B = 1.2, 0.75
 
 
@@ -81,25 +82,54 @@ def prepared(docs: DataFrame, ascii_only: bool = True) -> DataFrame:
     return docs.withColumns(made)
 
 
+def counted(table: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(term, field, stable_key, tf, length): terms counted in their document's own row, so that no task holds those of all.
+
+    Rows are dealt by key first, and those of one key become one; length is how many terms the field has in the document.
+    """
+    return _dealt(table, fields).select("stable_key", F.explode(F.flatten(F.array(*map(_counts_of, fields)))).alias("p")).select("p.term", "p.field", "stable_key", "p.tf", "p.length")
+
+
+def lengths(table: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(stable_key, field, length): how many terms a field has in a document; a row for each that has any."""
+    sizes = F.array(*[F.struct(F.lit(f).alias("field"), F.size(_terms_of(f)).cast("long").alias("length")) for f in fields])
+    return _dealt(table, fields).select("stable_key", F.explode(sizes).alias("s")).select("stable_key", "s.field", "s.length").filter("length > 0")
+
+
+def _dealt(table: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """stable_key and terms by field, a row a key."""
+    dealt = table.select("stable_key", *[f"{f}_terms" for f in fields]).repartition("stable_key")
+    return dealt.groupBy("stable_key").agg(*[F.concat_ws(" ", F.collect_list(f"{f}_terms")).alias(f"{f}_terms") for f in fields])
+
+
+def _terms_of(name: str) -> Column:
+    return F.filter(F.split(F.col(f"{name}_terms"), " "), lambda t: t != "")
+
+
 def postings(table: DataFrame) -> DataFrame:
     """(term, field, stable_key, tf): the inverted index, to be stored bucketed or sorted by term."""
-    parts = F.flatten(F.array(*map(_terms_of, ("name", "path", "kind"))))
-    return table.select("stable_key", F.explode(parts).alias("p")).groupBy("p.term", "p.field", "stable_key").agg(F.count("*").alias("tf"))
+    return counted(table, FIELDS).drop("length")
 
 
-def _terms_of(name: str) -> Column:
-    return F.transform(F.filter(F.split(F.col(f"{name}_terms"), " "), lambda t: t != ""), lambda t: F.struct(t.alias("term"), F.lit(name).alias("field")))
+def _counts_of(name: str) -> Column:
+    """The terms of a field, each once, with their number: runs of its sorted terms."""
+    terms = F.sort_array(_terms_of(name))
+    starts = lambda s: F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    run = lambda s, b, i, k: F.struct(F.get(s, i).alias("term"), F.lit(name).alias("field"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("tf"), F.size(s).cast("long").alias("length"))
+    # arrays of one bind a value to a name: it is made once a row
+    return F.flatten(F.transform(F.array(terms), lambda s: F.element_at(F.transform(F.array(starts(s)), lambda b: F.transform(b, lambda i, k: run(s, b, i, k))), 1)))
 
 
 def bm25(index: DataFrame, terms: list[str], n_docs: int, lengths: DataFrame) -> DataFrame:
     """(stable_key, retrieval_score): sum over terms and fields of boosted BM25; every term must occur somewhere.
 
-    lengths: stable_key, field, length. Scores are rounded to millionths, so that sums in any order compare alike.
+    index: a row a term, field and document, with its length or without. lengths: stable_key, field, length. Scores are rounded to millionths, so that sums in any order compare alike.
     """
     own = index.filter(F.col("term").isin(terms))
-    df = own.groupBy("term", "field").agg(F.countDistinct("stable_key").alias("df"))
+    df = own.groupBy("term", "field").agg(F.count("*").alias("df"))
     mean = lengths.groupBy("field").agg(F.avg("length").alias("mean"))
-    joined = own.join(F.broadcast(df), ["term", "field"]).join(lengths, ["stable_key", "field"]).join(F.broadcast(mean), "field")  # a row a query term and field
+    sized = own if "length" in own.columns else own.join(lengths, ["stable_key", "field"])
+    joined = sized.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(mean), "field")  # a row a query term and field
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     boost = F.when(F.col("field") == "name", BOOSTS["name"][0]).when(F.col("field") == "path", BOOSTS["path"][0]).otherwise(BOOSTS["kind"][0])
     part = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

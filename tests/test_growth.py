@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import admission, projection
+from graphloom.operators import admission, projection, retrieval, search
 
 
 def measured(spark, run) -> dict[str, int]:
@@ -54,3 +54,25 @@ def test_sources_that_many_references_share_are_moved_once(spark):
     objects = spark.createDataFrame([("a", ["g", "h", "g"]), ("b", ["x"]), ("c", [])], "address string, guids array<string>")
     named = spark.createDataFrame([("g", "S"), ("g", "R"), ("h", "S")], "guid string, symbol string")
     assert [tuple(r) for r in admission.script_symbols(objects, named).collect()] == [("a", ["R", "S"])]
+
+
+TERMS = "stable_key string, name_terms string, path_terms string, kind_terms string"
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [("a", "x y x", "y", ""), ("b", None, " z  z ", "k"), ("c", "", "", ""), ("d", "x", "x", "x"), ("d", "x w", None, "x")]
+    table = spark.createDataFrame(rows, TERMS)
+    got = sorted(tuple(r) for r in search.postings(table).collect())
+    assert got == [("k", "kind", "b", 1), ("w", "name", "d", 1), ("x", "kind", "d", 2), ("x", "name", "a", 2), ("x", "name", "d", 2), ("x", "path", "d", 1), ("y", "name", "a", 1), ("y", "path", "a", 1), ("z", "path", "b", 2)]
+    assert {(r.stable_key, r.field): r.length for r in search.lengths(table).collect()} == {(r.stable_key, r.field): r.length for r in search.counted(table, search.FIELDS).collect()}
+    assert {r.length for r in search.counted(table, search.FIELDS).filter("stable_key = 'd' and field = 'name'").collect()} == {3}
+    many = spark.range(0, 60_000, 1, 1).select(F.col("id").cast("string").alias("stable_key"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.sha2((F.col("id") * i).cast("string"), 256)), " ").alias("name_terms"), F.lit("p").alias("path_terms"), F.lit("k").alias("kind_terms"))
+    assert measured(spark, lambda: done(search.postings(many)))["held"] < 20_000_000  # some 100 MB for the terms of all rows at once
+
+
+def test_scores_need_no_lengths_of_all_documents(spark):
+    table = spark.range(0, 60_000, 1, 1).select(F.format_string("%06d", "id").alias("stable_key"), F.concat(F.lit("ring x"), F.pmod("id", F.lit(7)).cast("string"), F.repeat(F.lit(" y"), F.pmod("id", F.lit(5)).cast("int"))).alias("name_terms"), F.when(F.col("id") % 300 == 0, "promo a b").otherwise("c").alias("path_terms"), F.lit("k").alias("kind_terms"))
+    index = search.counted(table, search.FIELDS)
+    found = search.bm25(index, ["ring", "promo"], 60_000, search.lengths(table))
+    assert found.collect() and sorted(found.collect()) == sorted(search.bm25(index.drop("length"), ["ring", "promo"], 60_000, search.lengths(table)).collect())
+    assert found.count() == 200
