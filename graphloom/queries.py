@@ -515,9 +515,8 @@ _LEN = f"(SELECT field, stable_key, sum(tf) AS length FROM ({ORACLES['postings']
   JOIN (SELECT term, field, count(DISTINCT stable_key) AS df FROM ({ORACLES['postings']}) GROUP BY term, field) d USING (term, field) WHERE p.term IN ('ring', 'promo'))
 GROUP BY stable_key HAVING count(DISTINCT term) = 2 ORDER BY retrieval_score DESC, stable_key LIMIT 50""")
 def retrieve_topk(spark, sf_dir):
-    index = search.postings(search_table(spark, sf_dir))
-    lengths = index.groupBy("field", "stable_key").agg(F.sum("tf").alias("length"))
-    return search.bm25(index, ["ring", "promo"], table(spark, sf_dir, "part").count(), lengths).orderBy(F.desc("retrieval_score"), "stable_key").limit(50)
+    made = search_table(spark, sf_dir)
+    return search.bm25(search.counted(made, search.FIELDS), ["ring", "promo"], table(spark, sf_dir, "part").count(), search.lengths(made)).orderBy(F.desc("retrieval_score"), "stable_key").limit(50)
 
 
 @query("""SELECT c_nationkey, array_to_string(list_filter(list_sort(list(c_name)), lambda x: contains(lower(x), '7') OR contains(lower(x), '12'))[1:6], '|') AS hits FROM customer GROUP BY c_nationkey""")
