@@ -76,3 +76,14 @@ def test_scores_need_no_lengths_of_all_documents(spark):
     found = search.bm25(index, ["ring", "promo"], 60_000, search.lengths(table))
     assert found.collect() and sorted(found.collect()) == sorted(search.bm25(index.drop("length"), ["ring", "promo"], 60_000, search.lengths(table)).collect())
     assert found.count() == 200
+
+
+def test_postings_of_terms_not_asked_for_are_not_shuffled(spark):
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.concat(F.lit("w"), F.translate(F.pmod(F.col("id") * 31 + i * i, F.lit(500)).cast("string"), "0123456789", "abcdefghij"))), " ")
+    docs = spark.range(0, 3000, 1, 4).select(F.format_string("d%05d", "id").alias("stable_key"), F.concat(F.lit("n"), "id").alias("name"), F.lit("p/q.asset").alias("path"), F.lit("Asset").alias("kind"), F.when(F.col("id") % 100 == 0, F.concat(words, F.lit(" with"))).otherwise(words).alias("content"))
+    table, postings = retrieval.index(docs)
+    made = []
+    assert measured(spark, lambda: done(postings))["shuffled"] < 2_000_000  # the texts once; 6 MB where each term and document is a row
+    postings = postings.localCheckpoint()
+    assert measured(spark, lambda: made.extend(retrieval.retrieve(table.drop("content", "content_terms"), postings, 3000, retrieval.prepare("t:asset with")).collect()))["shuffled"] < 1_500_000
+    assert [r.stable_key for r in made] == [f"d{k:05d}" for k in range(0, 3000, 100)] and all(r.evidence[0].kind == "token" for r in made)
