@@ -45,7 +45,7 @@ _POSTINGS_SQL = "SELECT f AS field, t AS term, stable_key, count(*) AS tf, sum(c
 def _index(spark, sf_dir):
     """The search table and its postings, written once: a query reads its own terms of them and no text again."""
     made, postings = retrieval.index(_assets(spark, sf_dir))
-    made = settled(made)
+    made = settled(made.drop("content", "content_terms"))  # what postings hold already
     return made, settled(postings), made.count()
 
 
