@@ -141,8 +141,10 @@ def retrieve(table: DataFrame, postings: DataFrame, n_docs: int, prepared: Prepa
     if not tokens:
         found = rows.withColumns({"retrieval_score": F.lit(0).cast("long"), "evidence": none})
     else:
-        own = postings.join(vocabulary_matches(postings, tokens), "term")
-        frequency = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
+        # written, so that Spark knows how few terms are meant and postings of others aren't shuffled
+        meant = settled(vocabulary_matches(postings, tokens))
+        own = postings.join(meant, "term")
+        frequency = settled(postings.join(meant.select("term").distinct(), "term", "left_semi").groupBy("term", "field").agg(F.count("*").alias("df")))
         mean = postings.groupBy("field", "stable_key").agg(F.max("length").alias("length")).groupBy("field").agg(F.avg("length").alias("mean"))
         scored = own.join(frequency, ["term", "field"]).join(F.broadcast(mean), "field")  # a row a field
         idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
