@@ -87,3 +87,15 @@ def test_postings_of_terms_not_asked_for_are_not_shuffled(spark):
     postings = postings.localCheckpoint()
     assert measured(spark, lambda: made.extend(retrieval.retrieve(table.drop("content", "content_terms"), postings, 3000, retrieval.prepare("t:asset with")).collect()))["shuffled"] < 1_500_000
     assert [r.stable_key for r in made] == [f"d{k:05d}" for k in range(0, 3000, 100)] and all(r.evidence[0].kind == "token" for r in made)
+
+
+def test_the_first_rows_of_a_large_source_need_no_task_with_all(spark):
+    rows = spark.range(0, 150_000, 1, 8).select(F.when(F.col("id") % 1000 == 1, None).when(F.col("id") % 1000 == 0, "small").otherwise("large").alias("source"), F.sha2((F.col("id") % 149_000).cast("string"), 256).alias("src"), (F.col("id") % 3).alias("path_id"))
+    kept, cut = projection.capped(rows, "source", ["src", "path_id"], 40, "references")
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+    for most, limited in ((40, kept), (1100, projection.capped(rows, "source", ["src", "path_id"], 1100, "references")[0])):
+        got = [tuple(r) for r in limited.orderBy("source", "ordinal").collect()]
+        want = sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+        each = [[r for r in want if r[0] == s][:most] for s in (None, "large", "small")]
+        assert got == [(*r, k) for part in each for k, r in enumerate(part)]
+    assert {(r.source, r.omitted) for r in cut.collect()} == {(None, 110), ("small", 110), ("large", 149_660)}
