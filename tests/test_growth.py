@@ -99,3 +99,27 @@ def test_the_first_rows_of_a_large_source_need_no_task_with_all(spark):
         each = [[r for r in want if r[0] == s][:most] for s in (None, "large", "small")]
         assert got == [(*r, k) for part in each for k, r in enumerate(part)]
     assert {(r.source, r.omitted) for r in cut.collect()} == {(None, 110), ("small", 110), ("large", 149_660)}
+
+
+def test_transforms_are_sorted_once(spark, monkeypatch):
+    t = spark.range(0, 60_000, 1, 4).select(F.concat(F.lit("t"), "id").alias("src"), F.concat(F.lit("o"), "id").alias("object"), F.concat(F.lit("t"), F.expr("id div 100")).alias("father"), "id")
+    fact = lambda rows, field, target: rows.select("src", F.lit(field).alias("field_path"), F.col(target).alias("target"))
+    facts = fact(t.filter("id % 7 <> 3"), "m_GameObject", "object").union(fact(t.filter("id >= 100"), "deep.m_Father[0]", "father")).union(fact(t, "m_Other", "father"))
+    classes = t.select(F.col("src").alias("address"), F.when(F.col("id") == 50_000, 5).otherwise(4).alias("class_id"))
+    names = t.filter("id <> 40000").select(F.col("object").alias("address"), F.concat(F.lit("n"), "id").alias("name"))
+    plans = []
+    settled = projection.settled
+    monkeypatch.setattr(projection, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settled(df))
+    made = projection.hierarchy(facts, classes, names)
+    assert plans[0].count("Join ") == 2  # one with the transforms, one with the names: every further one sorts all facts in the same tasks
+    got = {r.transform: r.path for r in made.collect()}
+    want = {f"t{k}": "/".join(f"n{x}" for x in chain(k)) for k in range(60_000) if k % 7 != 3 and k not in (40_000, 50_000)}
+    assert got == want
+
+
+def chain(k: int) -> list[int]:
+    """Ids from the top to ``k``: parents are a hundredth; a chain ends below one without an object."""
+    up = [k]
+    while up[-1] >= 100 and (up[-1] // 100) % 7 != 3:
+        up.append(up[-1] // 100)
+    return up[::-1]
